@@ -36,7 +36,7 @@ with cut as (
 ), numbered as (
   select doc_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from cut
 ), lines as (
-  select doc_id, line_no, list_filter(regexp_split_to_array(lower(line), '[\x09-\x0D ]+'), x -> x <> '') as w from numbered
+  select doc_id, line_no, list_filter(regexp_split_to_array(lower(line), '[\x09-\x0D ]+'), lambda x: x <> '') as w from numbered
 ), full_lines as (
   select doc_id, line_no, w, len(w) as n, array_to_string(w, ' ') as s, doc_id * 1000000 + line_no as id from lines where len(w) > 0
 ), firsts as (

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, simhash, token_counts
-from .common import read
+from . import ann, decontam, langid, line_dedup, lm_score, quality_crf, simhash, sp_codec, token_counts, warc
+from .common import crc_mod, read
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +25,42 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), every=100)
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), crc_mod(F.col("doc_id"), 7) != 2)
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_simhash, op6_decontam)}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"))
+    model = langid.fit(docs.where(~F.col("held_out")), public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.identify(docs.drop("lang"), model).drop("text")
+
+
+def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"))
+    labels = read(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 4) != 2)
+    return quality_crf.quality(docs, quality_crf.fit(docs, labels)).drop("text")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_token_counts, op3_simhash, op4_ann, op5_lm_score, op6_decontam, op7_sentencepiece, op8_langid, op9_quality_crf, op10_warc)
+}
 
 LINE_DEDUP_SQL = r"""
 with cut as (
@@ -66,4 +98,19 @@ select l.doc_id, cast(l.line_no as integer) as line_no,
 from full_lines l join firsts f on l.s = f.s left join near on near.id = f.id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL}
+WARC_SQL = r"""
+with p as (
+  select page_id, url, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages
+), q as (
+  select *, min(page_id) over (partition by body) as head from p
+)
+select page_id, cast(strlen(body) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+    (((instr('0123456789abcdef', substr(hex, cast(5 * i // 4 + 1 as integer), 1)) - 1) * 16
+      + instr('0123456789abcdef', substr(hex, cast(5 * i // 4 + 2 as integer), 1)) - 1) >> cast(3 - 5 * i % 4 as integer)) & 31 as integer), 1)), '') as payload_digest,
+  case when head is null or page_id = head then 'response' else 'revisit' end as record_type,
+  case when head is null or page_id = head then null else head end as refers_to, url
+from q
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op10_warc": WARC_SQL}

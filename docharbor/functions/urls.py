@@ -184,12 +184,16 @@ def srcset(value: Column) -> Column:
     return F.filter(first, lambda x: x != "")
 
 
+def _has_key(name: str):
+    return lambda p: p["key"] == name
+
+
 def listing_params(url: Column) -> Column:
     """Query parameters of a listing page under their names in its interface; the last non-empty value counts."""
     pairs = F.filter(query_pairs(url), lambda p: p["value"] != "")
     out = []
     for source, target in terms.LISTING_PARAMS.items():
-        own = F.filter(pairs, lambda p, s=source: p["key"] == s)
+        own = F.filter(pairs, _has_key(source))
         out.append(F.when(F.size(own) > 0, F.struct(F.lit(target).alias("key"), F.element_at(own, -1)["value"].alias("value"))))
     return F.map_from_entries(F.array_compact(F.array(*out)))
 

@@ -64,13 +64,6 @@ def split_blocks(pages: DataFrame, keys: list[str], text: str = "markdown", exac
     return found.select(*keys, pos.alias("pos"), "block")
 
 
-def split_native(text: Column) -> Column:
-    """The same blocks as an array, without a shuffle: for pages whose text fits a row, as all do here."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: tx.norm_line(x))
-    kept = F.filter(lines, lambda x: ~x.rlike(SEPARATOR))
-    return F.filter(F.split(F.array_join(kept, "\n"), "\n{2,}"), lambda x: x != "").cast("array<string>")
-
-
 def score_columns(block: Column, clean: Column, url: Column, title: Column) -> dict[str, Column]:
     """score, reasons and kept of a block; clean: the block sanitised, a column of its own, as much is asked of it."""
     low, t = F.lower(clean), F.lower(title)

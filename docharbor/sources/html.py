@@ -335,7 +335,7 @@ def markdown(html: str | None) -> str:
 def expand(pages: DataFrame, function, schema: str, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, pos, columns of schema) of each row that function(html, url) gives for a page; html is read here and not carried on."""
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("page_url"), F.col(html).alias("html"))
-    names = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", schema)]
+    names = pages.sparkSession.createDataFrame([], schema).columns
 
     def run(batches):
         for pdf in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +54,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def crc_mod(key, n: int):
     """crc32 of an id as text, modulo n: the folds of the held-out tests."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+
+
+def release() -> None:
+    """Gives memory that is free inside this process back to the system. A worker calls it at the end of a task, as it may wait long for the next."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back
+        pass

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 
 #: Labelled documents of each class that the fit takes at the most, and lines of a stretch of them.
 SAMPLE_DOCS, STRETCH = 2000, 64
@@ -92,6 +92,20 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return f[keep], size[keep].astype(float), doc[keep]
 
 
+def features(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of many texts, a MB at once: the byte arrays take a hundred times as much as the text."""
+    found, lo = [line_features([b""])], 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= most):
+            size += len(texts[hi])
+            hi += 1
+        f, n, doc = line_features(texts[lo:hi])
+        found.append((f, n, doc + lo))
+        lo = hi
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
 def with_neighbours(f: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Each line's features, then those of the line before and of the line after in its document (zeros where there is none)."""
     before, after = np.zeros_like(f), np.zeros_like(f)
@@ -140,7 +154,7 @@ class Chain:
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """What the curve reads of each text: the mean good share by length, the mean of the log odds, and whether there are lines."""
-        f, size, doc = line_features(texts)
+        f, size, doc = features(texts)
         good = self.marginals(with_neighbours(f, doc), doc)
         weight = np.bincount(doc, weights=size, minlength=len(texts))
         has = weight > 0
@@ -164,7 +178,7 @@ def _adam(w: np.ndarray, gradient, steps: int = STEPS, rate: float = RATE) -> np
 
 def train(texts: list[bytes], good: np.ndarray) -> Chain:
     """Fits the chain on lines that inherit their document's label, classes weighted alike, then the curve on the documents."""
-    f, _, doc = line_features(texts)
+    f, _, doc = features(texts)
     dim = 3 * N_OWN
     if not len(f) or len(set(good.tolist())) < 2:
         base = np.log((good.sum() + 1) / (len(good) - good.sum() + 1)) if len(good) else 0.0
@@ -228,14 +242,7 @@ def quality(docs: DataFrame, chain: Chain, text: str = "text", threshold: float
     def run(batches):
         for b in batches:
             texts = [t.encode() if isinstance(t, str) else b"" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            scores, lo = [], 0
-            while lo < len(texts):  # a few MB at once: the byte arrays take a hundred times as much
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 2 << 20):
-                    size += len(texts[hi])
-                    hi += 1
-                scores.append(chain.score(texts[lo:hi]))
-                lo = hi
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chain.score(texts))], names=[f.name for f in schema.fields])
+        release()
 
     return keep.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

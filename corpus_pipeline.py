@@ -20,9 +20,10 @@ SURE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages of the labelled documents; null and letterless texts go. Learns from lang and text of all docs."""
     model = langid.fit(docs, public_tokenizers.path(MODEL))
-    judged = langid.identify(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
+    own = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}  # columns of docs with the names of the verdict
+    judged = langid.identify(docs.withColumnsRenamed(own), model)
     kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).drop("lang_pred", "score")
-    return kept.withColumnRenamed("_score", "score").select(*docs.columns)
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

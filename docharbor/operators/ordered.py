@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def _row(df: DataFrame, keys, order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -55,3 +57,11 @@ def collision_suffix(folder: Column, name: Column, order: Column) -> Column:
 def islands(line: Column, blank: Column, keys: list, order: list) -> Column:
     """The number of blank rows so far: rows between the same blanks share it."""
     return F.sum(blank.cast("int")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """df with its rows numbered from 1 in a total order, without one task that holds them all: ranges are numbered each on its own, and their sizes, a row for each range, give where they begin."""
+    rows = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    rows = cut(rows.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))), "numbered")
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(F.broadcast(sizes.drop("n")), "_p").withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_p", "_i", "_before")

@@ -11,13 +11,13 @@ import uuid
 from collections.abc import Callable, Iterable
 from datetime import UTC, date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import terms
 from ..functions import dates as d
 from ..functions import urls as u
-from .ordered import ordered_distinct
+from .ordered import numbered, ordered_distinct
 
 RUNS = "id long, run_type string, started_at timestamp, finished_at timestamp, status string, regions_scanned int, months_scanned string, pdfs_discovered int, new_pdfs int, downloaded int, failed int, discovery_seconds double, db_seconds double, download_seconds double, excel_seconds double, total_seconds double, error string"
 DOCUMENTS = "id long, normalized_url string, pdf_url string, region string, year string, month string, publication_date date, date_source string, source_page string, title string, first_seen_at timestamp, last_seen_at timestamp, first_run_id long, last_run_id long"
@@ -94,7 +94,7 @@ def upsert(inventory: DataFrame, documents: DataFrame, run_id: int, seen_at: Col
         is_old.alias("_was"),
     )
     largest = inventory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
-    new = base.where("not _was").withColumn("_r", F.row_number().over(Window.orderBy("_o", "normalized_url"))).crossJoin(F.broadcast(largest)).withColumn("id", (F.col("m") + F.col("_r")).cast("long"))
+    new = numbered(base.where("not _was"), ["_o", "normalized_url"], "_r").crossJoin(F.broadcast(largest)).withColumn("id", (F.col("m") + F.col("_r")).cast("long"))
     cols = [c.split()[0] for c in DOCUMENTS.split(", ")]
     return base.where("_was").select(*cols).unionByName(new.select(*cols))
 
@@ -196,7 +196,7 @@ class Repository:
         rows = documents.select("seq", key().alias("normalized_url")).join(downloads.select("seq", "status", "file_path"), "seq").join(self.documents().select(F.col("id").alias("document_id"), "normalized_url"), "normalized_url", "left")
         old = self.downloads()
         top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
-        rows = rows.withColumn("_r", F.row_number().over(Window.orderBy("seq"))).crossJoin(F.broadcast(top))
+        rows = numbered(rows, ["seq"], "_r").crossJoin(F.broadcast(top))
         rows = rows.select((F.col("m") + F.col("_r")).cast("long").alias("id"), F.lit(run_id).cast("long").alias("run_id"), "document_id", F.lit(datetime.now(UTC)).cast("timestamp").alias("attempted_at"), "status", F.col("file_path").alias("saved_path"), failed.alias("error"))
         self.replace("downloads", old.unionByName(rows))
 
@@ -283,7 +283,7 @@ def daily_check(repo: Repository, discover: Callable[..., DataFrame], order: lis
 def download_new(repo: Repository, run_id: int, download: Callable[[DataFrame], DataFrame], documents: DataFrame | None = None, folder: str | None = None) -> dict:
     """Downloads a run's new documents, or those given (with seq); download returns a status row (seq, status, file_path, ...) for each. Counts and times are added to the run."""
     began = time.perf_counter()
-    docs = documents if documents is not None else repo.new_documents(run_id).withColumn("seq", F.row_number().over(Window.orderBy("region", F.asc_nulls_last("publication_date"), "title", "url")))
+    docs = documents if documents is not None else numbered(repo.new_documents(run_id), ["region", F.asc_nulls_last("publication_date"), "title", "url"], "seq")
     repo.upsert(docs, run_id, datetime.now(UTC), ["seq"])
     t = time.perf_counter()
     done = download(docs)

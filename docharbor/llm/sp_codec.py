@@ -11,6 +11,7 @@ each on its own and remembered.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from dataclasses import dataclass, field
 
@@ -19,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 
 MARK = "▁"
 #: Fixed values of the format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Bytes of text that are encoded at once: the library keeps some hundred bytes for each token.
-CHUNK = 1 << 20
+#: Characters that are encoded at once: the library keeps some hundred bytes for each token.
+CHUNK = 1 << 18
 THREADS = 2
+#: Words whose encoding a worker remembers.
+REMEMBER = 150_000
 
 
 def wire(data: bytes):
@@ -114,7 +117,7 @@ def build(m: Model):
         raise NotImplementedError("user-defined pieces and bare white space are not rebuilt")
     unk = m.pieces[m.unk_id][0]
     if m.kind == BPE:
-        model = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(m.pieces)}, merges=merges(m), unk_token=unk, fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=200_000)
+        model = models.BPE(vocab={p: i for i, (p, _, _) in enumerate(m.pieces)}, merges=merges(m), unk_token=unk, fuse_unk=True, byte_fallback=m.byte_fallback)
     elif m.kind == UNIGRAM:
         model = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
     else:
@@ -140,26 +143,90 @@ def normalised(tok, m: Model, text: str) -> str:
     return out.removeprefix(" ") if m.dummy_prefix else out
 
 
+SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+
+
 class Codec:
     """Encodes and decodes batches of texts with a model file."""
 
     def __init__(self, path: str, threads: int = THREADS):
+        from tokenizers import normalizers
+
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        self.model = parse(path)
-        self.tok = build(self.model)
+        self.model = m = parse(path)
+        self.tok = build(m)
+        self.bare = build(m)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.by_word = self.tok.pre_tokenizer is not None
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def normalise(self, text: str) -> str:
+        if not self.model.charsmap and not self.model.trim_spaces:
+            text = text.replace(" ", MARK)
+            return MARK + text if text and self.model.dummy_prefix else text
+        return self.tok.normalizer.normalize_str(text)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words and remembers them. Those with one marker, at their beginning, go side by side: each beginning of a piece with it begins a word."""
+        easy = [w for w in words if w[0] == MARK and w[1:2] != MARK]
+        hard = [w for w in words if not (w[0] == MARK and w[1:2] != MARK)]
+        groups, lo, size = [], 0, 0
+        for hi, w in enumerate(easy, 1):
+            size += len(w)
+            if size >= 1 << 14 or hi == len(easy):
+                groups.append(easy[lo:hi])
+                lo, size = hi, 0
+        parts, sizes = [self.flat], [self.sizes]
+        per = max(1, CHUNK >> 14)
+        for g in range(0, len(groups), per):
+            for own, e in zip(groups[g : g + per], self.bare.encode_batch_fast(["".join(x) for x in groups[g : g + per]], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                at = np.nonzero(self.opens[ids])[0]
+                if len(at) == len(own):
+                    self.known.update(zip(own, range(len(self.known), len(self.known) + len(own)), strict=True))
+                    parts.append(ids)
+                    sizes.append(np.diff(np.append(at, len(ids))))
+                else:
+                    hard += own
+        for g in range(0, len(hard), 10_000):
+            own = hard[g : g + 10_000]
+            ids = [e.ids for e in self.bare.encode_batch_fast(own, add_special_tokens=False)]
+            self.known.update(zip(own, range(len(self.known), len(self.known) + len(own)), strict=True))
+            parts.append(np.fromiter((x for i in ids for x in i), np.int32))
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.flat, self.sizes = np.concatenate(parts), np.concatenate(sizes)
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each)."""
+        if not self.by_word:
+            ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum())), sizes
+        words = [SEGMENT.findall(self.normalise(t)) for t in texts]
+        new = list({w for own in words for w in own if w not in self.known})
+        if len(self.known) + len(new) > REMEMBER:
+            self._forget()
+            new = list({w for own in words for w in own})
+        if new:
+            self._learn(new)
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        look = self.known.__getitem__
+        at = np.fromiter((look(w) for own in words for w in own), np.int64, int(n.sum()))
+        starts = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[at]
+        done = np.cumsum(sizes)
+        ids = self.flat[np.repeat(starts[at] - (done - sizes), sizes) + np.arange(int(sizes.sum()))]
+        return ids, np.diff(np.concatenate([[0], done])[np.concatenate([[0], n.cumsum()])])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHUNK):
-                size += len(texts[hi])
-                hi += 1
-            out += [e.ids for e in self.tok.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
-            lo = hi
-        return out
+        ids, sizes = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(ids, sizes.cumsum()[:-1])] if len(texts) else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
@@ -202,12 +269,23 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
         plain = not c.model.charsmap and not c.model.trim_spaces  # then normalising changes nothing that decoding doesn't undo
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            ids = c.encode(texts)
-            same = [back.decode(i) == (t if plain else normalised(c.tok, c.model, t)) for i, t in zip(ids, texts, strict=True)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum()))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes), pa.array(same)], names=[f.name for f in schema.fields])
+            flat, sizes, same, lo = [], [], [], 0
+            while lo < len(texts):
+                hi, n = lo, 0
+                while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= CHUNK):
+                    n += len(texts[hi])
+                    hi += 1
+                ids, own = c.encode_flat(texts[lo:hi])
+                at = np.concatenate([[0], own.cumsum()])
+                for k, t in enumerate(texts[lo:hi]):
+                    same.append(back.decode(ids[at[k] : at[k + 1]].tolist()) == (t if plain else normalised(c.tok, c.model, t)))
+                flat.append(ids)
+                sizes.append(own)
+                lo = hi
+            own = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], own.cumsum()]), pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(own), pa.array(same, pa.bool_())], names=[f.name for f in schema.fields])
+        release()
 
     return keep.mapInArrow(run, schema)
 

@@ -25,11 +25,12 @@ def native_anchors(pages: DataFrame, key: str = "page_id", url: str = "url", htm
 
 
 def absolute(links: DataFrame) -> DataFrame:
-    """links with url: href joined to page_url. Hrefs below the site's root are joined in the JVM, others by the standard library."""
-    native = u.root_relative(F.col("page_url"), F.col("href"))
-    plain = links.where(F.col("href").rlike("^/(?!/)") | F.col("href").rlike("(?i)^https?://[^/?#]")).withColumn("url", F.coalesce(native, F.col("href")))
-    other = links.where(~F.coalesce(F.col("href").rlike("^/(?!/)") | F.col("href").rlike("(?i)^https?://[^/?#]"), F.lit(False))).withColumn("url", u.urljoin("page_url", "href"))
-    return plain.unionByName(other)
+    """links with url: href joined to page_url. Links that were read with a page's tree have it; of others, hrefs below the site's root are joined in the JVM and the rest by the standard library."""
+    if "url" in links.columns:
+        return links
+    plain = F.coalesce(F.col("href").rlike("^/(?!/)") | F.col("href").rlike("(?i)^https?://[^/?#]"), F.lit(False))
+    native = F.coalesce(u.root_relative(F.col("page_url"), F.col("href")), F.col("href"))
+    return links.where(plain).withColumn("url", native).unionByName(links.where(~plain).withColumn("url", u.urljoin("page_url", "href")))
 
 
 def page_links(links: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def strategies(*found: DataFrame) -> DataFrame:
     """The union of link tables, earlier ones first, the first of each address: candidates of several strategies in one."""
     out = None
     for n, df in enumerate(found):
-        own = df.select("page_id", "page_url", "pos", "href").withColumn("strategy", F.lit(n))
+        own = absolute(df).select("page_id", "page_url", "pos", "href", "url").withColumn("strategy", F.lit(n))
         out = own if out is None else out.unionByName(own)
     return file_links_in_order(out)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -128,32 +129,44 @@ def main_part(root: Node) -> Node:
     return root.first("main") or root.first("article") or root.first("body") or root
 
 
-def anchors(html: str | None) -> Iterator[dict]:
-    """Every link of a page with its text: kind a (href), img (src) or srcset (img and source, one row for each candidate)."""
+def join(page: str | None, href: str) -> str | None:
+    """href as seen from page; null where that is no address."""
+    try:
+        return urljoin(page or "", href)
+    except ValueError:
+        return None
+
+
+def anchors(html: str | None, page: str | None = None) -> Iterator[dict]:
+    """Every link of a page with its text and absolute address: kind a (href), img (src) or srcset (img and source, one row for each candidate)."""
     root = parse(html)
+
+    def row(kind, href, text=""):
+        return {"kind": kind, "href": href, "text": text, "url": join(page, href)}
+
     for a in root.all("a"):
         if "href" in a.attrs:
-            yield {"kind": "a", "href": a.attrs["href"].strip(), "text": a.squeezed()}
+            yield row("a", a.attrs["href"].strip(), a.squeezed())
     for i in root.all("img"):
         if "src" in i.attrs:
-            yield {"kind": "img", "href": i.attrs["src"].strip(), "text": ""}
+            yield row("img", i.attrs["src"].strip())
     for i in root.all("img", "source"):
         for c in i.attrs.get("srcset", "").split(","):
             if c.split():
-                yield {"kind": "srcset", "href": c.split()[0], "text": ""}
+                yield row("srcset", c.split()[0])
 
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
-def outline(html: str | None) -> Iterator[dict]:
+def outline(html: str | None, page: str | None = None) -> Iterator[dict]:
     """Headings and links in document order. previous: the text of the nearest paragraph, heading or list item that begins before a link; label: its title and aria-label."""
     root, previous = parse(html), None
     for n in root.walk():
         if n.tag in HEADINGS or n.tag == "a":
             label = " ".join(v for v in (n.attrs.get(k, "").strip() for k in ("title", "aria-label")) if v)
             href = n.attrs["href"].strip() if n.tag == "a" and "href" in n.attrs else None
-            yield {"tag": n.tag, "text": n.squeezed(), "href": href, "label": label if n.tag == "a" else "", "previous": previous.squeezed() if n.tag == "a" and previous is not None else ""}
+            yield {"tag": n.tag, "text": n.squeezed(), "href": href, "url": None if href is None else join(page, href), "label": label if n.tag == "a" else "", "previous": previous.squeezed() if n.tag == "a" and previous is not None else ""}
         if n.tag in HEADINGS or n.tag in ("p", "li"):
             previous = n
 
@@ -347,11 +360,11 @@ def expand(pages: DataFrame, function, schema: str, key: str = "page_id", url: s
 
 
 def links(pages: DataFrame, **columns) -> DataFrame:
-    return expand(pages, lambda h, u: anchors(h), "kind string, href string, text string", **columns)
+    return expand(pages, anchors, "kind string, href string, text string, url string", **columns)
 
 
 def outlines(pages: DataFrame, **columns) -> DataFrame:
-    return expand(pages, lambda h, u: outline(h), "tag string, text string, href string, label string, previous string", **columns)
+    return expand(pages, outline, "tag string, text string, href string, url string, label string, previous string", **columns)
 
 
 TABLE = "struct<title:string,headers:array<string>,rows:array<array<string>>,table_type:string>"

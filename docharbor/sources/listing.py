@@ -9,6 +9,7 @@ from .. import terms
 from ..functions import urls as u
 from ..operators.ordered import ordered_distinct
 
+#: A fixed value: where the files of object dumps lie.
 BLOBS = "https://marketing.webassets.siemens-healthineers.com/"
 
 

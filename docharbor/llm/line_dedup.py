@@ -79,14 +79,14 @@ def line_decisions(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "tex
     near = _lines(own, "text", "doc_id").join(wanted, ["doc_id", "line_no"], "left_semi").withColumn("n", F.size("words"))
     near = Written(near.select(F.struct("doc_id", "line_no").alias("id"), "n", "words", _sums(F.col("words")).alias("before"), _sums(F.reverse("words")).alias("after")), "line-near").df
 
-    def variants(last, after):
-        at = F.explode(F.sequence(F.lit(1), last)).alias("i")
-        return near.select("id", "n", "before", "after", at).select("id", "n", "i", F.element_at("before", F.col("i")).alias("p"), F.element_at("after", after).alias("s"))
-
-    # word i away: i - 1 words before it, n - i after it
-    gone = Written(variants(F.col("n"), F.col("n") - F.col("i") + 1), "line-variants").df
-    # nothing away: cut before word i
-    whole = variants(F.col("n") + 1, F.col("n") - F.col("i") + 2)
+    def variants(more):
+        """For each place i the sums before it and after it: of the lines without word i, or with more = 1 of the whole lines, cut before word i."""
+        n = F.col("n") + more
+        cuts = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.element_at("before", i).alias("p"), F.element_at("after", n - i + 1).alias("s")))
+        return near.select("id", "n", F.explode(cuts).alias("v")).select("id", "n", "v.*")  # the arrays themselves don't go along
+
+    gone = Written(variants(0), "line-variants").df
+    whole = variants(1)
     same = gone.where(F.col("n") >= min_words).groupBy("n", "i", "p", "s").agg(F.min("id").alias("keeper"), F.max("id").alias("latest")).where("keeper != latest").drop("latest")
     swaps = gone.join(same, ["n", "i", "p", "s"]).where("id != keeper").select("id", "keeper", "i", F.lit(0).alias("longer"))
     one_less = gone.where(F.col("n") >= min_words).select(F.col("id").alias("long"), (F.col("n") - 1).alias("n"), "i", "p", "s")

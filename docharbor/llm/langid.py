@@ -13,10 +13,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches, smallest_hashes
 from .sp_codec import MARK, NORMAL, parse
 
 #: Letters only, lower-cased; a word begins with the marker, as pieces do.
@@ -26,7 +26,7 @@ SAMPLE_DOCS, SAMPLE_WORDS = 1500, 40_000
 ROUNDS = 3
 #: Longest piece in characters, marker included.
 LONGEST = 8
-REMEMBER = 300_000
+REMEMBER = 150_000
 #: The probability of a character outside the vocabulary, and what is added to each expected count.
 UNKNOWN, SMOOTH = 1e-6, 0.05
 
@@ -80,7 +80,7 @@ class Lattice:
         return sizes, start[order], row[order], length[order], piece[order]
 
 
-def blocks(words: list[str], cells: int = 600_000):
+def blocks(words: list[str], cells: int = 150_000):
     """Positions of words of similar length, in blocks of bounded size."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     lo = 0
@@ -163,6 +163,8 @@ class LanguageModel:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The likeliest language of each text and its posterior; und and 0 where a text has no letter."""
+        if not self.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
         found = [WORD.findall((t or "").lower()) for t in texts]
         new = list({w for ws in found for w in ws if w not in self.known})
         if len(self.known) + len(new) > REMEMBER:
@@ -173,7 +175,7 @@ class LanguageModel:
         look = self.known.__getitem__
         langs, scores = [], []
         for ws in found:
-            if not ws or not self.langs:
+            if not ws:
                 langs.append("und")
                 scores.append(0.0)
                 continue
@@ -198,8 +200,7 @@ def fit(labelled: DataFrame, model: str, text: str = "text", lang: str = "lang",
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    ids = rows.select("id", "lang", "h").withColumn("r", rank).where(F.col("r") <= docs).select("id", "lang")  # the window keeps so many rows of each task before it shuffles
+    ids = smallest_hashes(rows.select("id", "lang", "h"), "lang", docs).select("id", "lang")
     own = rows.drop("h").join(F.broadcast(ids.distinct()), ["id", "lang"], "left_semi").select("lang", "text")  # docs rows a language at the most
 
     def run(batches):
@@ -208,6 +209,7 @@ def fit(labelled: DataFrame, model: str, text: str = "text", lang: str = "lang",
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 count.update((name, w) for w in WORD.findall(t.lower()))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["lang", "word", "n"])
+        release()
 
     counts = own.mapInArrow(run, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "lang", "word").limit(words).collect()  # bounded by words
@@ -243,5 +245,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         for b in batches:
             names, scores = own.score(b.column(b.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[f.name for f in schema.fields])
+        release()
 
     return keep.mapInArrow(run, schema)

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches
+from .common import release, small_batches, smallest_hashes
 
 #: Labelled documents of each class that the fit takes at the most, and lines of a stretch of them.
 SAMPLE_DOCS, STRETCH = 2000, 64
@@ -220,8 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     """
     small_batches(docs.sparkSession)
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key)).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))
-    ids = rows.withColumn("r", rank).where(F.col("r") <= n).drop("r")  # 2 n rows at the most: small enough to send
+    ids = smallest_hashes(rows, "y", n)  # 2 n rows at the most: small enough to send
     shares = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(ids), "id")
     sample = own.orderBy("h", "y", "t").limit(2 * n).select("t", "y").toPandas()  # bounded by n

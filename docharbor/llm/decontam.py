@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Seeds are an item's word trigrams. Every text is scanned for the seeds of all items; per document and item, hits that lie within
-an item's length of one another form a cluster. Seeds are then ranked by the number of documents that hold them: a cluster
-is aligned only if it has one of the rarer half of its item's seeds (ties included) and as many seeds in all as an
-edited copy must keep. The half is taken item by item, so a leak that very many documents hold is still found.
+an item's length of one another form a cluster. Each cluster is aligned that has as many seeds as an edited copy must keep. How
+many other documents hold a seed doesn't matter: copies elsewhere, intact or edited, can't hide one.
 The words around the cluster are aligned with the item (match 1, mismatch -1, gap -1); the score is a share of the item's length.
 
 The benchmark is read in blocks of a fixed number of items, each sent to the workers and held against all documents.
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, small_batches, written
+from .common import small_batches
 
 GRAM = 3
 #: The share of an item's length that an alignment must score: a quarter of the words may be edited.
@@ -51,8 +50,8 @@ class Seeds:
         self.by_first = {k: dict(v) for k, v in self.by_first.items()}
         self.lengths = sorted({min(GRAM, len(w)) for _, w in items})
 
-    def clusters(self, words: list[str]) -> list[tuple[int, list[int], list[str] | None]]:
-        """(item, seeds, the words around or None if the seeds are too few) of each cluster of hits."""
+    def clusters(self, words: list[str]) -> list[tuple[int, int, list[str]]]:
+        """(item, number of its seeds, the words around) of each cluster of hits with as many seeds as an edited copy must keep."""
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at, first in enumerate(words):
             rest = self.by_first.get(first)
@@ -66,9 +65,9 @@ class Seeds:
             lo = 0
             for hi in range(1, len(found) + 1):
                 if hi == len(found) or found[hi][0] - found[hi - 1][0] > size:
-                    seeds = sorted({s for _, s in found[lo:hi]})
-                    around = words[max(0, found[lo][0] - size) : found[hi - 1][0] + size] if len(seeds) >= needed(size) else None
-                    out.append((item, seeds, around))
+                    n = len({s for _, s in found[lo:hi]})
+                    if n >= needed(size):
+                        out.append((item, n, words[max(0, found[lo][0] - size) : found[hi - 1][0] + size]))
                     lo = hi
         return out
 
@@ -123,16 +122,10 @@ def _block(docs: DataFrame, items: list[tuple[int, list[str]]], threshold: float
                     ids.append(i)
                     who.append(item)
                     got.append(found)
-                    around.append(None if near is None else " ".join(near))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(who, pa.int64()), pa.array(got, pa.list_(pa.int32())), pa.array(around, pa.string())], names=["doc_id", "item", "seeds", "around"])
-
-    hits = Written(rows.mapInArrow(scan, "doc_id long, item long, seeds array<int>, around string"), "decontam").df
-    # how many clusters of the corpus hold a seed: at most a row for each trigram of the block
-    held = hits.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").agg(F.count("*").alias("n"))
-    rare = held.groupBy("item").agg(F.collect_list(F.struct("seed", "n")).alias("all")).select("item", F.array_sort("all.n").alias("ns"), "all")
-    middle = F.element_at("ns", F.floor((F.size("ns") + 1) / 2).cast("int"))
-    rare = rare.withColumn("most", middle).select("item", F.expr("transform(filter(all, x -> x.n <= most), x -> x.seed)").alias("rare"))
-    near = hits.where("around is not null").join(F.broadcast(rare), "item").where(F.arrays_overlap("seeds", "rare")).select("doc_id", "item", F.size("seeds").alias("n_seeds"), "around")
+                    around.append(" ".join(near))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(who, pa.int64()), pa.array(got, pa.int32()), pa.array(around, pa.string())], names=["doc_id", "item", "n_seeds", "around"])
+
+    near = rows.mapInArrow(scan, "doc_id long, item long, n_seeds int, around string")
 
     def align(batches):
         texts = dict(numbered)

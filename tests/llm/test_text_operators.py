@@ -262,3 +262,20 @@ def test_contaminated(spark):
     assert all(0.5 <= r.score <= 1 for r in got)
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
     assert collections.Counter(r.item_id for r in got)[3] == 203
+
+
+def test_intact_copies_hide_no_edited_one(spark):
+    rng = random.Random(6)
+    text = lambda n: ["".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(n)]
+    cases = [(edits, intact) for edits in (7, 8, 9, 10) for intact in (0, 1, 3, 60)]  # 17 to 25 % of the words, spread
+    items, rows, expected = {}, {}, set()
+    for i, (edits, intact) in enumerate(cases):
+        items[i] = text(40)
+        copy = list(items[i])
+        for n in range(edits):
+            copy[n * 40 // edits + 1] = text(1)[0]
+        for w in (copy, *[items[i]] * intact):
+            expected.add((len(rows), i))
+            rows[len(rows)] = " ".join(text(60) + w + text(60))
+    got = decontam.contaminated(spark.createDataFrame([*rows.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == expected

@@ -28,6 +28,8 @@ SEED = 42
 #: For near_groups: bands and rows of the min-wise signature; its values that go into a sketch, a byte each, seven to a long; and how many of
 #: them must agree before sets are compared. At the similarity asked for, 84 agree on average, with a deviation of 4.
 BANDS, ROWS, SKETCH, AGREE = 22, 5, 105, 67
+#: Members of a large bucket that are compared with as many others in one cell of a join.
+CELL = 2000
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -117,7 +119,30 @@ def agreement(a, b):
         d = x.bitwiseXOR(y)
         return F.bit_count((d.bitwiseAND(F.lit(seven)) + F.lit(seven)).bitwiseOR(d).bitwiseAND(F.lit(high)))
 
-    return F.lit(SKETCH) - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda n, d: n + d)
+    return F.lit(SKETCH) - sum(differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(SKETCH // 7))
+
+
+def across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (bucket, doc_id, sketch, component) that share a bucket but no component, if their sketches agree.
+
+    Members outside the bucket's largest component are compared with all others, in cells of CELL by CELL, so that no task holds a large bucket.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("k")).where("k > 1")
+    whole = Written(whole.select("bucket", F.col("most.component").alias("most"), F.ceil(F.col("n") / CELL).alias("rows"), F.ceil((F.col("n") - F.col("most.n")) / CELL).alias("cols")), "near-mixed").df
+    held = members.join(whole, "bucket")
+
+    def part(n):
+        return F.pmod(F.xxhash64("doc_id"), F.col(n))
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    x = held.select("bucket", part("rows").alias("i"), each("cols").alias("j"), "doc_id", "sketch", "component", "most")
+    y = held.where("component != most").select("bucket", each("rows").alias("i"), part("cols").alias("j"), F.col("doc_id").alias("o"), F.col("sketch").alias("os"), F.col("component").alias("oc"))
+    other = (F.col("component") != F.col("oc")) & ((F.col("component") == F.col("most")) | (F.col("doc_id") < F.col("o")))
+    near = (x["bucket"] == y["bucket"]) & (x["i"] == y["i"]) & (x["j"] == y["j"]) & other & (agreement(F.col("sketch"), F.col("os")) >= AGREE)
+    return x.join(y, near).select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id", bands: bool = False) -> DataFrame:
@@ -191,8 +216,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     bits than two, pairs that share a band of a min-wise signature of the same shingles. Every candidate is
     verified on the whole shingle sets; pairs of a band whose sketches say that they are far below the threshold are no candidates. Documents with equal sets are one class from the start. In a band's bucket
     members are compared with a few leaders, the smallest ids; those that link to none are compared with more leaders, round by
-    round, until nobody is left: large groups of copies cost about a comparison each, and no bucket is cut
-    short. Texts without words form one group. Null ids are no documents.
+    round, until nobody is left: large groups of copies cost about a comparison each. Then all members of a bucket, and all
+    documents of equal or linked fingerprints, that are in different groups so far are compared with each other: no bucket is cut
+    short, and no chain of links. Texts without words form one group. Null ids are no documents.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null")
@@ -200,7 +226,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     reps = Written(sig.groupBy("class_key").agg(F.min(F.struct("doc_id", "fp", "bands", "sketch")).alias("m")).select("class_key", "m.*"), "near-classes").df
     heads = reps.groupBy("fp").agg(F.min("doc_id").alias("head"))
     same = reps.join(heads, "fp").where("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    by_fp = links(reps).join(heads.toDF("a", "ha"), "a").join(heads.toDF("b", "hb"), "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    fp_links = Written(links(reps), "near-fp-links").df
+    by_fp = fp_links.join(heads.toDF("a", "ha"), "a").join(heads.toDF("b", "hb"), "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
     by_fp = Written(same.union(by_fp), "near-pairs").df
 
     def leaders_of(active: DataFrame, n: int) -> DataFrame:
@@ -213,10 +240,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     active = Written(reps.select("doc_id", bucket), "near-active").df
     n = 2
     low = leaders_of(active, n)
-    # all that can ever be compared: members of shared buckets and ends of fingerprint links
+    # all that can ever be compared: members of shared buckets, and documents of shared or linked fingerprints
     active = active.join(low.select("bucket"), "bucket", "left_semi").join(reps.select("doc_id", "sketch"), "doc_id")
-    active = Written(active.select("bucket", "doc_id", "sketch"), "near-active").df
-    involved = active.select("doc_id").union(by_fp.select("a")).union(by_fp.select("b")).distinct()
+    active = members = Written(active.select("bucket", "doc_id", "sketch"), "near-active").df
+    shared = fp_links.select("a").union(fp_links.select("b")).union(reps.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")).distinct().toDF("fp")
+    by_both = Written(reps.join(shared, "fp", "left_semi").select("fp", "doc_id", "sketch"), "near-fp-members").df
+    involved = active.select("doc_id").union(by_both.select("doc_id")).distinct()
 
     def shingled(batches):
         for batch in batches:
@@ -245,5 +274,18 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
         n = min(64, n * 8)
         low = leaders_of(active, n)
     groups = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), "near-groups")
+
+    def placed(of: DataFrame) -> DataFrame:
+        return of.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    # who left a bucket with a leader wasn't compared with those who stayed: what is still apart is compared now
+    by_both = Written(placed(by_both.where(F.size("sketch") > 0)).select("fp", "doc_id", "sketch", "component"), "near-fp-members").df
+    apart = by_both.groupBy("fp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = fp_links.join(apart.toDF("a", "la", "ha"), "a").join(apart.toDF("b", "lb", "hb"), "b").where("least(la, lb) != greatest(ha, hb)").select("a", "b")
+    ends = mixed.join(by_both.toDF("a", "x", "xs", "xc"), "a").join(by_both.toDF("b", "y", "ys", "yc"), "b").where((F.col("xc") != F.col("yc")) & (agreement(F.col("xs"), F.col("ys")) >= AGREE))
+    pairs = across(placed(members)).union(across(by_both.withColumnRenamed("fp", "bucket"))).union(ends.select(F.least("x", "y"), F.greatest("x", "y")))
+    late = verified(Written(pairs.distinct(), "near-trials").df)
+    if not late.isEmpty():
+        groups = connected_components(groups.toDF("src", "dst").union(late), "near-groups")
     of = reps.select("class_key", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("class_key", F.coalesce("component", "doc_id").alias("group_id"))
     return sig.select("doc_id", "class_key").join(of, "class_key").select("doc_id", "group_id")

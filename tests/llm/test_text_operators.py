@@ -208,6 +208,26 @@ def test_near_groups(spark, small):
     assert simhash.near_groups(d.limit(0)).count() == 0 and simhash.simhash_components(d.limit(0)).count() == 0
 
 
+def test_near_groups_link_through_members(spark):
+    """Groups of siblings, one edit each, around a centre; a document of three edits is near the centre alone, which is no leader."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for _ in range(4):
+        centre = [word() for _ in range(150)]
+
+        def edited(*at, centre=centre):
+            return " ".join(word() if i in at else w for i, w in enumerate(centre))
+
+        for text in (*(edited(10 + i) for i in range(80)), " ".join(centre), edited(100, 115, 130)):
+            texts[len(texts)] = text
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts.items()}
+    sim = lambda a, b: len(a & b) / len(a | b)
+    of = union([(a, b) for a in sets for b in sets if a < b and sim(sets[a], sets[b]) >= 0.8], list(texts))
+    assert set(of.values()) == {0, 82, 164, 246}
+    assert {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()} == of
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(200) if i % 50 != 49] + [(500, x) for x in range(501, 900)] + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(250)]

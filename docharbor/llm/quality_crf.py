@@ -153,7 +153,7 @@ class Chain:
         return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700)))
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
-        """What the curve reads of each text: the mean good share by length, the mean of the log odds, and whether there are lines."""
+        """What the curve reads of each text: the mean good share by length, the mean of the log odds, the mean good share of the worst tenth by length, and whether there are lines."""
         f, size, doc = features(texts)
         good = self.marginals(with_neighbours(f, doc), doc)
         weight = np.bincount(doc, weights=size, minlength=len(texts))
@@ -161,7 +161,13 @@ class Chain:
         weight = np.maximum(weight, 1e-9)
         share = np.bincount(doc, weights=size * good, minlength=len(texts)) / weight
         odds = np.bincount(doc, weights=size * np.clip(np.log((good + 1e-4) / (1.0001 - good)), -6, 6), minlength=len(texts)) / weight
-        return np.stack([np.where(has, share, 0.0), np.where(has, odds, 0.0), has.astype(float), np.ones(len(texts))], axis=1)
+        # lines from worst to best within each text, each up to what is left of the tenth
+        order = np.lexsort((good, doc))
+        by_doc, length = doc[order], size[order].astype(float)
+        before = np.cumsum(length) - length - (np.cumsum(weight * has) - weight * has)[by_doc]
+        taken = np.clip(weight[by_doc] / 10 - before, 0, length)
+        worst = np.bincount(by_doc, weights=taken * good[order], minlength=len(texts)) / (weight / 10)
+        return np.stack([np.where(has, share, 0.0), np.where(has, odds, 0.0), np.where(has, worst, 0.0), has.astype(float), np.ones(len(texts))], axis=1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.documents(texts) @ self.curve, -30, 30)))
@@ -182,7 +188,7 @@ def train(texts: list[bytes], good: np.ndarray) -> Chain:
     dim = 3 * N_OWN
     if not len(f) or len(set(good.tolist())) < 2:
         base = np.log((good.sum() + 1) / (len(good) - good.sum() + 1)) if len(good) else 0.0
-        return Chain(np.zeros(dim), np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, base]))
+        return Chain(np.zeros(dim), np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, 0.0, base]))
     x = with_neighbours(f, doc)
     where = np.arange(len(doc)) - np.searchsorted(doc, doc)
     part = doc * (1 << 32) + where // STRETCH
@@ -194,7 +200,7 @@ def train(texts: list[bytes], good: np.ndarray) -> Chain:
     link = np.nonzero(part[1:] == part[:-1])[0]
 
     def gradient(theta):
-        chain = Chain(theta[:dim], theta[dim:].reshape(2, 2), np.zeros(4))
+        chain = Chain(theta[:dim], theta[dim:].reshape(2, 2), np.zeros(5))
         em = chain.emission(x)
         fwd, bwd = chain.messages(em, first, count)
         both = fwd + bwd
@@ -208,9 +214,9 @@ def train(texts: list[bytes], good: np.ndarray) -> Chain:
         return np.concatenate([g, gt.ravel()]) + PENALTY * theta
 
     theta = _adam(np.zeros(dim + 4), gradient)
-    chain = Chain(theta[:dim], theta[dim:].reshape(2, 2), np.zeros(4))
+    chain = Chain(theta[:dim], theta[dim:].reshape(2, 2), np.zeros(5))
     d = chain.documents(texts)
-    return Chain(chain.w, chain.transitions, _adam(np.zeros(4), lambda c: d.T @ (1 / (1 + np.exp(-np.clip(d @ c, -30, 30))) - good) / len(good) + PENALTY * c, 600, 0.1))
+    return Chain(chain.w, chain.transitions, _adam(np.zeros(5), lambda c: d.T @ (1 / (1 + np.exp(-np.clip(d @ c, -30, 30))) - good) / len(good) + PENALTY * c, 600, 0.1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", n: int = SAMPLE_DOCS) -> Chain:
@@ -228,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     chain = train([bytes(t) for t in sample["t"]], good)
     if len(shares) == 2 and 0 < good.sum() < len(good):
         taken = good.sum() / (len(good) - good.sum())
-        chain.curve = chain.curve + np.array([0, 0, 0, np.log(shares[1] / shares[0] / taken)])
+        chain.curve = chain.curve + np.array([0, 0, 0, 0, np.log(shares[1] / shares[0] / taken)])
     return chain
 
 

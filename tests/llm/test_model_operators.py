@@ -324,3 +324,18 @@ def test_reader_notices_damage():
     assert len(list(warc.read_records(Slow(good)))) == 2
 
 
+
+
+def test_curve_reads_the_worst_tenth():
+    chain = quality_crf.Chain(np.random.default_rng(2).standard_normal(3 * quality_crf.N_OWN), np.array([[0.3, -0.2], [-0.1, 0.4]]), np.zeros(5))
+    texts = [b"", b"one good line of words\n$$$ 99 ||| 12\nanother plain line, a bit longer than that\nx\nSHOUT NOW!!!", b"  \n", b"single"]
+    d = chain.documents(texts)
+    f, size, doc = quality_crf.features(texts)
+    good = chain.marginals(quality_crf.with_neighbours(f, doc), doc)
+    for i in range(len(texts)):
+        left = total = size[doc == i].sum() / 10
+        got = 0.0
+        for g, n in sorted(zip(good[doc == i], size[doc == i], strict=True)):
+            got, left = got + g * min(n, left), left - min(n, left)
+        assert abs(d[i, 2] - (got / total if total else 0.0)) < 1e-9
+    assert d.shape == (4, 5)

@@ -64,7 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 LINE_DEDUP_SQL = r"""
 with cut as (
-  select doc_id, string_split(text, chr(10)) as ls from documents where text is not null
+  select doc_id, string_split(text, chr(10)) as ls from documents where text is not null and doc_id is not null
 ), numbered as (
   select doc_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from cut
 ), lines as (
@@ -74,17 +74,17 @@ with cut as (
 ), firsts as (
   select s, any_value(w) as w, any_value(n) as n, min(id) as id from full_lines group by s
 ), long_lines as (
-  select * from firsts where n >= 9
+  select * from firsts where n >= 4
 ), gone as (
   select id, n, i, array_to_string(w[1:i-1], ' ') as p, array_to_string(w[i+1:n], ' ') as q
   from long_lines, unnest(range(1, n + 1)) as t(i)
 ), swaps as (
-  select id, min(id) over (partition by n, i, p, q) as keeper from gone where n >= 10
+  select id, min(id) over (partition by n, i, p, q) as keeper from gone where n >= 5
 ), short_lines as (
   select id as short_id, n, s from long_lines
 ), drops as (
   select distinct g.id as long_id, b.short_id from gone g join short_lines b
-  on g.n >= 10 and b.n = g.n - 1 and b.s = (case when g.p = '' then g.q when g.q = '' then g.p else g.p || ' ' || g.q end)
+  on g.n >= 5 and b.n = g.n - 1 and b.s = (case when g.p = '' then g.q when g.q = '' then g.p else g.p || ' ' || g.q end)
 ), near as (
   select id, min(keeper) as keeper from (
     select id, keeper from swaps where keeper < id

@@ -21,7 +21,7 @@ def docs(spark, *texts):
 # Line dedup.
 
 
-def near(a, b, least=10):
+def near(a, b, least=5):
     if abs(len(a) - len(b)) > 1 or max(len(a), len(b)) < least:
         return False
     if len(a) < len(b):
@@ -50,7 +50,7 @@ def brute_lines(texts):
 
 def test_lines_against_brute_force(spark):
     rng = random.Random(4)
-    base = [[rng.choice("abcdefgh") for _ in range(rng.randint(9, 13))] for _ in range(12)]
+    base = [[rng.choice("abcdefgh") for _ in range(rng.choice([3, 4, 5, 6, 9, 10, 11, 12, 13]))] for _ in range(16)]
     texts = []
     for _ in range(60):
         lines = []
@@ -66,8 +66,8 @@ def test_lines_against_brute_force(spark):
 
 
 def test_lines_edges(spark):
-    long = " ".join(map(str, range(3000)))
-    d = docs(spark, None, "", "a b", "A  b\n\na c", long, long.replace("1500", "x"), "é x")
+    long = " ".join(map(str, range(100_000)))
+    d = docs(spark, None, "", "a b", "A  b\n\na c", long, long.replace(" 1500 ", " x "), "é x")
     out = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
     assert out[0].text is None and out[1].text == "" and out[2].text == "a b" and out[3].text == "\na c" and out[5].text == "" and out[4].text == long
     assert line_dedup.dedup_lines(d).columns == d.columns
@@ -76,6 +76,21 @@ def test_lines_edges(spark):
     assert twice.count() == 2
 
 
+def test_lines_without_an_id_and_of_far_ids(spark):
+    texts = ["a b c d e", "a b c d x", "A b c d e", "a b c d", None]
+    none = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert line_dedup.line_decisions(none).count() == 0 and [r.text for r in line_dedup.dedup_lines(none).collect()] == texts
+    for ids in ([-(1 << 63), -5, 0, (1 << 63) - 1], [7, 8, 9, 10]):
+        far = spark.createDataFrame([*zip(ids, texts, strict=False), (None, texts[0])], "doc_id long, text string")
+        got = {r.doc_id: (r.kind, r.keeper_doc, r.keeper_line) for r in line_dedup.line_decisions(far).collect()}
+        assert got == {ids[0]: ("kept", None, None), ids[1]: ("near", ids[0], 0), ids[2]: ("exact", ids[0], 0), ids[3]: ("near", ids[0], 0)}
+
+
+def test_lines_of_repeated_ids(spark):
+    d = spark.createDataFrame([(1, "one\ntwo"), (2, "one\nthree"), (2, "four\nthree")], "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.dedup_lines(d.withColumn("_gone", F.lit(0)).withColumn("_gone_of", F.lit(0)).withColumn("dropped", F.lit(1)).drop("_gone", "_gone_of")).collect()) == ["four\nthree", "one\nthree", "one\ntwo"]
+
+
 def test_many_lines_under_one_key(spark):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six seven eight nine ten "), F.col("id").cast("string"), F.lit(" end")).alias("text"))
     got = line_dedup.line_decisions(d).groupBy("kind", "keeper_doc").count().collect()

@@ -1,10 +1,13 @@
-"""Text expressions: folding, white space, term and pattern hits. All stay in the JVM but for unicode normal forms."""
+"""Text expressions: folding, white space, term and pattern hits. All stay in the JVM but for the composed normal form."""
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,19 +37,38 @@ def hits(col: Column, terms: Iterable[str]) -> Column:
 
 
 def occurrences(col: Column, terms: Iterable[str]) -> Column:
-    """How often the terms occur in col, each counted on its own without overlaps."""
+    """How often the terms occur in col, each counted on its own without overlaps. col is read often: bind it."""
     out = F.lit(0)
     for t in terms:
-        out = out + F.floor((F.length(col) - F.length(F.replace(col, F.lit(t), F.lit("")))) / len(t)).cast("int")
+        n = F.floor((F.length(col) - F.length(F.replace(col, F.lit(t), F.lit("")))) / len(t)).cast("int")
+        out = out + F.when(col.contains(t), n).otherwise(0)
     return out
 
 
+#: Letters that match an ASCII letter of a pattern, but have another lower-case form.
+ODD_CASES = "\u017f\u0131\u0307"
+
+
+def needle(pattern: str) -> str:
+    """The longest piece of lower-case text that every match of the pattern holds; empty if there is none."""
+    plain = re.sub(r"\\b", "", pattern)
+    plain = re.sub(r"\(\?:[^)]*\)[?*+]?|\\.[?*+]?|.[?*]", "\0", plain)
+    return max(re.split(r"[\0+.()\[\]|^$\\]", plain), key=len, default="").lower()
+
+
 def pattern_hits(col: Column, patterns: Iterable[str]) -> Column:
-    """How many of the patterns match somewhere in col, whatever the case."""
-    out = F.lit(0)
-    for p in patterns:
-        out = out + col.rlike(f"(?iu){p}").cast("int")
-    return out
+    """How many of the patterns match somewhere in col, whatever the case. A pattern is tried only where its needle occurs."""
+
+    def count(x: Column) -> Column:
+        low, odd = x["low"], x["odd"]
+        out = F.lit(0)
+        for p in patterns:
+            own, found = needle(p), col.rlike(f"(?iu){p}")
+            out = out + (F.when(low.contains(own) | odd, found).otherwise(False) if own else found).cast("int")
+        return out
+
+    patterns = list(patterns)
+    return let(let(F.lower(col), lambda low: F.struct(low.alias("low"), any_of(low, ODD_CASES).alias("odd"))), count)
 
 
 def first_hit(col: Column, table: dict[str, Iterable[str]], default: str | None = None) -> Column:
@@ -71,31 +93,37 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
+@cache
 def _folds() -> tuple[dict[str, str], dict[str, str]]:
-    """Of the Latin letters and signs below U+0250: those that fold to one ASCII character, and those that fold to several."""
+    """Of all characters with a decomposition: those that fold to one ASCII character, and those that fold to several."""
     one, many = {}, {}
-    for code in range(0x80, 0x250):
-        ascii_ = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(ascii_) == 1:
-            one[chr(code)] = ascii_
-        elif ascii_:
-            many[chr(code)] = ascii_
+    for code in range(0x80, sys.maxunicode + 1):
+        if unicodedata.decomposition(c := chr(code)):
+            ascii_ = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+            if len(ascii_) == 1:
+                one[c] = ascii_
+            elif ascii_:
+                many[c] = ascii_
     return one, many
 
 
-ONE, MANY = _folds()
+def _several(col: Column, many: dict[str, str]) -> Column:
+    pairs = F.from_json(F.lit(json.dumps([{"c": c, "a": a} for c, a in many.items()])), "array<struct<c:string,a:string>>")  # folded into one literal
+    found = f"[{''.join(many)}]"
+    return F.when(col.rlike(found), F.aggregate(pairs, col, lambda acc, p: F.replace(acc, p["c"], p["a"]))).otherwise(col)
 
 
 def ascii_fold(col: Column) -> Column:
-    """Compatibility decomposition without what isn't ASCII, for Latin script; other scripts are dropped. Native; exact_fold covers all of Unicode."""
-    for c, a in MANY.items():
-        col = F.replace(col, F.lit(c), F.lit(a))
-    return F.regexp_replace(F.translate(col, "".join(ONE), "".join(ONE.values())), r"[^\x00-\x7F]", "")
+    """The compatibility decomposition (NFKD) without what isn't ASCII. All in the JVM; ASCII is left as it is, and letters beyond Latin cost only the texts that have some."""
+    one, many = _folds()
+    near, far = ({c: a for c, a in one.items() if (c < "\u0250") == x} for x in (True, False))
 
+    def fold(x: Column) -> Column:
+        x = _several(x, many)
+        x = F.when(x.rlike("[^\\x00-\u024f]"), F.translate(x, "".join(far), "".join(far.values()))).otherwise(x)
+        return F.regexp_replace(F.translate(x, "".join(near), "".join(near.values())), r"[^\x00-\x7F]", "")
 
-@F.pandas_udf(T.StringType())
-def exact_fold(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
+    return F.when(col.rlike(r"[^\x00-\x7F]"), fold(col)).otherwise(col)
 
 
 @F.pandas_udf(T.StringType())
@@ -103,15 +131,18 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-def norm_text(col: Column, exact: bool = False) -> Column:
+def compatible(col: Column) -> Column:
+    """The compatibility form (NFKC). ASCII isn't sent to Python."""
+    return F.coalesce(nfkc(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
+
+
+def norm_text(col: Column) -> Column:
     """Folded to ASCII, lower case, white space collapsed. Null is empty."""
-    col = F.coalesce(col, F.lit(""))
-    return collapse(F.lower(exact_fold(col) if exact else ascii_fold(col)))
+    return collapse(F.lower(ascii_fold(F.coalesce(col, F.lit("")))))
 
 
-def norm_line(col: Column, exact: bool = False) -> Column:
-    """A line of a page: compatibility form, no zero-width spaces, white space collapsed, pipes unescaped."""
-    col = nfkc(col) if exact else col
+def norm_line(col: Column) -> Column:
+    """A line of a page in compatible form: no zero-width spaces, white space collapsed, pipes unescaped."""
     col = F.replace(F.replace(col, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
     return F.replace(collapse(col), F.lit("\\|"), F.lit("|"))
 
@@ -144,9 +175,7 @@ def looks_non_english(col: Column) -> Column:
     """German hints, or an umlaut where nothing useful is named."""
     from .. import terms
 
-    umlaut = col.rlike("[äöüß]")
-    useful = hits(col, terms.USEFUL_TERMS) + hits(col, terms.FAMILIES) + pattern_hits(col, terms.SPEC_PATTERNS)
-    return any_of(col, terms.GERMAN_HINTS) | (umlaut & (useful == 0))
+    return any_of(col, terms.GERMAN_HINTS) | (col.rlike("[äöüß]") & ~any_of(col, (*terms.USEFUL_TERMS, *terms.FAMILIES)) & (pattern_hits(col, terms.SPEC_PATTERNS) == 0))
 
 
 def glob_regex(pattern: str) -> str:

@@ -1,15 +1,15 @@
-"""Blocks of page text: cut, scored, kept once, and pages classified by what is left. Window and array functions only."""
+"""Blocks of page text: cut, scored, kept once, and pages classified by what is left.
+
+A page is a row from its text to its result: blocks are arrays within it, and nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import terms
 from ..functions import text as tx
-from .ordered import kept_once
-
-SEPARATOR = r"^\|?(?:\s*:?-{3,}:?\s*\|)+\s*$"
 
 
 def noise(x: Column) -> Column:
@@ -26,9 +26,12 @@ def cookieish(line: Column) -> Column:
 
 def drop_line(line: Column) -> Column:
     """A cookie notice, a table row with a noise term, or two noise terms and nothing useful."""
-    low = F.lower(line)
-    n = noise(low)
-    return cookieish(line) | (line.startswith("|") & (n >= 1)) | ((n >= 2) & (useful(low) == 0))
+
+    def judged(low: Column) -> Column:
+        by_noise = tx.let(noise(low), lambda n: (line.startswith("|") & (n >= 1)) | ((n >= 2) & (useful(low) == 0)))
+        return tx.any_of(low, terms.COOKIE_WORDS) | by_noise
+
+    return tx.let(F.lower(line), judged)
 
 
 def _lines(block: Column) -> Column:
@@ -41,80 +44,116 @@ def sanitize(block: Column) -> Column:
 
 
 def junk(block: Column) -> Column:
-    lines = _lines(block)
     digits = F.length(block) - F.length(F.regexp_replace(block, r"(?U)\d", ""))
-    return (F.size(lines) == 0) | ((F.size(lines) >= 4) & F.forall(lines, cookieish)) | ((digits > F.length(block) * 0.2) & ~F.lower(block).contains("product"))
+    notices = tx.let(_lines(block), lambda lines: (F.size(lines) == 0) | ((F.size(lines) >= 4) & F.forall(lines, cookieish)))
+    return notices | ((digits > F.length(block) * 0.2) & ~F.lower(block).contains("product"))
 
 
 def navigation(block: Column) -> Column:
-    lines = F.transform(_lines(block), F.lower)
-    n = F.size(lines)
-    short, nav = F.size(F.filter(lines, lambda x: F.length(x) <= 35)), F.size(F.filter(lines, lambda x: tx.any_of(x, terms.NAVIGATION)))
-    return (n == 0) | ((n >= 3) & (short / F.greatest(n, F.lit(1)) >= 0.8) & (nav >= 2) & (useful(F.lower(block)) <= nav))
-
-
-def split_blocks(pages: DataFrame, keys: list[str], text: str = "markdown", exact: bool = False) -> DataFrame:
-    """(keys, pos, block): runs of lines between blank ones, lines normalised, table rules left out. Lines never leave their page."""
-    line = tx.norm_line(F.col("line"), exact)
-    rows = pages.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\R")).alias("at", "line")).withColumn("line", line)
-    w = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("island", F.sum((F.col("line") == "").cast("int")).over(w)).where((F.col("line") != "") & ~F.col("line").rlike(SEPARATOR))
-    found = rows.groupBy(*keys, "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("block"))
-    pos = (F.row_number().over(Window.partitionBy(*keys).orderBy("island")) - 1).cast("int")
-    return found.select(*keys, pos.alias("pos"), "block")
-
-
-def score_columns(block: Column, clean: Column, url: Column, title: Column) -> dict[str, Column]:
-    """score, reasons and kept of a block; clean: the block sanitised, a column of its own, as much is asked of it."""
-    low, t = F.lower(clean), F.lower(title)
-    pipes = F.size(F.filter(_lines(clean), lambda x: x.startswith("|")))
-    parts = [
-        ("noise_url", tx.any_of(F.lower(url), terms.URL_NOISE).cast("int"), -2),
-        ("table_like", (pipes >= 3).cast("int"), -2),
-        ("noise_terms", noise(clean), -2),
-        ("fallback_page", tx.pattern_hits(clean, terms.FALLBACK_PATTERNS), -4),
-        ("medical_terms", F.least(tx.hits(low, terms.USEFUL_TERMS), F.lit(4)), 1),
-        ("product_family", tx.hits(low, terms.FAMILIES), 2),
-        ("title_context", F.least(tx.hits(t, terms.USEFUL_TERMS), F.lit(2)), 1),
-        ("title_family", tx.hits(t, terms.FAMILIES), 2),
-        ("spec_pattern", tx.pattern_hits(clean, terms.SPEC_PATTERNS), 2),
-        ("thin_block", (F.length(clean) < 40).cast("int"), -1),
-        ("cookie_heavy", ((tx.occurrences(low, ["cookie"]) >= 2) | (tx.occurrences(low, ["session"]) >= 2)).cast("int"), -3),
-        ("junk_structure", junk(clean).cast("int"), -3),
-        ("navigation_block", navigation(clean).cast("int"), -4),
-        ("sanitized", (F.length(clean) < F.length(block)).cast("int"), 0),
-    ]
-    total = F.lit(0)
-    for _, n, weight in parts:
-        total = total + n * weight
-    reasons = F.array_compact(F.array(*[F.when(n > 0, name) for name, n, _ in parts]))
-    empty = clean == ""
-    score = F.when(empty, -5).otherwise(total).cast("int")
-    return {"score": score, "reasons": F.when(empty, F.array(F.lit("fully_sanitized"))).otherwise(reasons), "kept": score > 0}
-
-
-def score_blocks(blocks: DataFrame, keys: list[str], url: str = "url", title: str = "title") -> DataFrame:
-    """blocks (keys, pos, block, url, title) with text, score, reasons and kept; a kept block that repeats an earlier kept one of its page is dropped as duplicate_block."""
-    rows = blocks.withColumn("text", sanitize(F.col("block")))
-    rows = rows.withColumns(score_columns(F.col("block"), F.col("text"), F.coalesce(F.col(url), F.lit("")), F.coalesce(F.col(title), F.lit(""))))
-    key = F.lower(tx.collapse(F.col("text")))
-    rows = rows.withColumn("_again", kept_once(rows, [*keys, key], ["pos"], F.col("kept")))
-    again = F.col("_again")
-    return rows.withColumns({"score": F.when(again, 0).otherwise(F.col("score")), "reasons": F.when(again, F.array(F.lit("duplicate_block"))).otherwise(F.col("reasons")), "kept": F.col("kept") & ~again}).drop("_again", "block")
+    def judged(lines: Column) -> Column:
+        n = F.size(lines)
+        short, nav = F.size(F.filter(lines, lambda x: F.length(x) <= 35)), F.size(F.filter(lines, lambda x: tx.any_of(x, terms.NAVIGATION)))
+        return (n == 0) | ((n >= 3) & (short / F.greatest(n, F.lit(1)) >= 0.8) & (nav >= 2) & (useful(F.lower(block)) <= nav))
+
+    return tx.let(F.transform(_lines(block), F.lower), judged)
+
+
+def block_list(text: Column) -> Column:
+    """The blocks of a text in compatible form: runs of lines between blank ones, lines normalised, table rules left out."""
+    lines = F.filter(F.transform(F.split(text, r"\R"), tx.norm_line), lambda x: ~x.rlike(terms.TABLE_RULE))
+    return F.filter(F.transform(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda x: F.trim(x, F.lit("\n"))), lambda x: x != "")
+
+
+def split_blocks(pages: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
+    """(keys, pos, block): the blocks of each page, in order. Null text: no blocks."""
+    return pages.select(*keys, tx.compatible(F.coalesce(F.col(text), F.lit(""))).alias("_text")).select(*keys, F.posexplode(block_list(F.col("_text"))).alias("pos", "block"))
+
+
+def score(block: Column, clean: Column, url: Column, title: Column) -> Column:
+    """struct of score, reasons and kept of a block; clean: the block sanitised. Both are read often: bind them."""
+
+    def judged(x: Column) -> Column:
+        low, t = x["low"], x["title"]
+        pipes = F.size(F.filter(_lines(clean), lambda line: line.startswith("|")))
+        parts = [
+            ("noise_url", tx.any_of(x["url"], terms.URL_NOISE).cast("int"), -2),
+            ("table_like", F.when(clean.contains("|"), (pipes >= 3).cast("int")).otherwise(0), -2),
+            ("noise_terms", noise(clean), -2),
+            ("fallback_page", tx.pattern_hits(clean, terms.FALLBACK_PATTERNS), -4),
+            ("medical_terms", F.least(tx.hits(low, terms.USEFUL_TERMS), F.lit(4)), 1),
+            ("product_family", tx.hits(low, terms.FAMILIES), 2),
+            ("title_context", F.least(tx.hits(t, terms.USEFUL_TERMS), F.lit(2)), 1),
+            ("title_family", tx.hits(t, terms.FAMILIES), 2),
+            ("spec_pattern", tx.pattern_hits(clean, terms.SPEC_PATTERNS), 2),
+            ("thin_block", (F.length(clean) < 40).cast("int"), -1),
+            ("cookie_heavy", ((tx.occurrences(low, ["cookie"]) >= 2) | (tx.occurrences(low, ["session"]) >= 2)).cast("int"), -3),
+            ("junk_structure", junk(clean).cast("int"), -3),
+            ("navigation_block", navigation(clean).cast("int"), -4),
+            ("sanitized", (F.length(clean) < F.length(block)).cast("int"), 0),
+        ]
+        names, weights = [name for name, _, _ in parts], [w for _, _, w in parts]
+
+        def summed(counts: Column) -> Column:
+            total = F.lit(0)
+            for i, w in enumerate(weights):
+                total = total + F.get(counts, F.lit(i)) * w
+            found = F.array_compact(F.array(*[F.when(F.get(counts, F.lit(i)) > 0, name) for i, name in enumerate(names)]))
+            return F.struct(total.cast("int").alias("score"), found.alias("reasons"), (total > 0).alias("kept"))
+
+        return tx.let(F.array(*[n for _, n, _ in parts]), summed)
+
+    texts = F.struct(F.lower(clean).alias("low"), F.lower(url).alias("url"), F.lower(title).alias("title"))
+    nothing = F.struct(F.lit(-5).alias("score"), F.array(F.lit("fully_sanitized")).alias("reasons"), F.lit(False).alias("kept"))
+    return F.when(clean == "", nothing).otherwise(tx.let(texts, judged))
+
+
+def scored_list(blocks: Column, url: Column, title: Column) -> Column:
+    """array of struct<pos, text, kept, score, reasons> of the blocks of a page; a kept block that repeats an earlier kept one is dropped as duplicate_block."""
+
+    def one(block: Column, pos: Column) -> Column:
+        def of(clean: Column) -> Column:
+            return tx.let(score(block, clean, url, title), lambda s: F.struct(pos.alias("pos"), clean.alias("text"), s["kept"].alias("kept"), s["score"].alias("score"), s["reasons"].alias("reasons")))
+
+        return tx.let(sanitize(block), of)
+
+    def once(all_: Column) -> Column:
+        keys = F.transform(all_, lambda b: F.when(b["kept"], F.lower(tx.collapse(b["text"]))))
+        again = F.struct(F.lit(False).alias("kept"), F.lit(0).alias("score"), F.array(F.lit("duplicate_block")).alias("reasons"))
+
+        def marked(ks: Column) -> Column:
+            def first(b: Column, i: Column) -> Column:
+                own = F.struct(b["kept"].alias("kept"), b["score"].alias("score"), b["reasons"].alias("reasons"))
+                verdict = F.when(b["kept"] & (F.array_position(ks, F.get(ks, i)) <= i), again).otherwise(own)
+                return tx.let(verdict, lambda v: F.struct(b["pos"].alias("pos"), b["text"].alias("text"), v["kept"].alias("kept"), v["score"].alias("score"), v["reasons"].alias("reasons")))
+
+            return F.transform(all_, first)
+
+        return tx.let(keys, marked)
+
+    return tx.let(F.transform(blocks, one), once)
+
+
+def score_blocks(pages: DataFrame, keys: list[str], text: str = "markdown", url: str = "url", title: str = "title") -> DataFrame:
+    """(keys, pos, text, kept, score, reasons) of each block of each page."""
+    rows = pages.select(*keys, tx.compatible(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.coalesce(F.col(url), F.lit("")).alias("_url"), F.coalesce(F.col(title), F.lit("")).alias("_title"))
+    return rows.select(*keys, F.explode(scored_list(block_list(F.col("_text")), F.col("_url"), F.col("_title"))).alias("b")).select(*keys, "b.*")
 
 
 def page_type(url: Column, title: Column, clean: Column, n_dropped: Column) -> Column:
     u, label = F.lower(url), F.lower(F.concat_ws("\n", url, title))
-    hay = F.lower(F.concat_ws("\n", url, title, clean))
-    product = F.when(tx.any_of(hay, terms.FAMILIES), "product_detail").otherwise("product_category")
-    return (
-        F.when(tx.any_of(u, terms.LEGAL_URL), "legal_noise")
-        .when(tx.any_of(label, ("support", "documentation")), "support_noise")
-        .when(tx.pattern_hits(hay, terms.FALLBACK_PATTERNS) > 0, "fallback_noise")
-        .when(tx.any_of(hay, ("product", "system", "scanner")), product)
-        .when((clean != "") & (F.length(clean) < 160) & (n_dropped > 0), "mixed_low_quality")
-        .otherwise("unknown")
-    )
+
+    def of(hay: Column) -> Column:
+        product = F.when(tx.any_of(hay, terms.FAMILIES), "product_detail").otherwise("product_category")
+        return (
+            F.when(tx.any_of(u, terms.LEGAL_URL), "legal_noise")
+            .when(tx.any_of(label, ("support", "documentation")), "support_noise")
+            .when(tx.pattern_hits(hay, terms.FALLBACK_PATTERNS) > 0, "fallback_noise")
+            .when(tx.any_of(hay, ("product", "system", "scanner")), product)
+            .when((clean != "") & (F.length(clean) < 160) & (n_dropped > 0), "mixed_low_quality")
+            .otherwise("unknown")
+        )
+
+    return tx.let(F.lower(F.concat_ws("\n", url, title, clean)), of)
 
 
 def spec_values(clean: Column, most: int = 12) -> Column:
@@ -123,39 +162,43 @@ def spec_values(clean: Column, most: int = 12) -> Column:
 
 
 def signals(clean: Column) -> Column:
-    low = F.lower(clean)
-    return F.create_map(F.lit("medical_terms"), tx.found_terms(low, terms.USEFUL_TERMS, 12), F.lit("product_families"), tx.found_terms(low, terms.FAMILIES, 10), F.lit("spec_values"), spec_values(clean))
+    return tx.let(F.lower(clean), lambda low: F.create_map(F.lit("medical_terms"), tx.found_terms(low, terms.USEFUL_TERMS, 12), F.lit("product_families"), tx.found_terms(low, terms.FAMILIES, 10), F.lit("spec_values"), spec_values(clean)))
 
 
-def page_results(pages: DataFrame, keys: list[str], text: str = "markdown", url: str = "url", title: str = "title", exact: bool = False) -> DataFrame:
-    """One row a page: its type, relevance, counts, clean text, kept and dropped blocks, reasons and signals.
+def page_results(pages: DataFrame, keys: list[str], text: str = "markdown", url: str = "url", title: str = "title") -> DataFrame:
+    """One row a page: its type, relevance, counts, clean text, kept and dropped blocks, reasons and signals. Null columns count as empty.
 
     A page whose raw text reads like an error page, and whose clean text is short or mere navigation, loses all blocks and is fallback_noise.
     """
-    base = pages.select(*keys, F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(title), F.lit("")).alias("title"), F.coalesce(F.col(text), F.lit("")).alias("_raw"))
-    cut = split_blocks(pages, keys, text, exact).join(base.select(*keys, "url", "title"), keys)
-    one = F.struct("pos", "text", "kept", "score", "reasons")
-    done = score_blocks(cut, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("all"))
-    rows = base.join(done, keys, "left").withColumn("all", F.coalesce("all", F.expr("cast(array() as array<struct<pos:int,text:string,kept:boolean,score:int,reasons:array<string>>>)")))
-    rows = rows.withColumns({"_kept": F.filter("all", lambda b: b["kept"]), "_out": F.filter("all", lambda b: ~b["kept"])})
-    rows = rows.withColumn("_clean", F.array_join(F.transform("_kept", lambda b: b["text"]), "\n\n"))
-    fallback = (tx.pattern_hits(F.col("_raw"), terms.FALLBACK_PATTERNS) > 0) & ((F.length("_clean") < 500) | navigation(F.col("_clean")))
-    rows = rows.withColumn("_fallback", fallback)
-    none = F.slice(F.col("_kept"), 1, 0)
-    moved = F.transform("_kept", lambda b: F.struct(b["pos"].alias("pos"), b["text"].alias("text"), F.lit(False).alias("kept"), F.lit(0).alias("score"), F.array(F.lit("fallback_page")).alias("reasons")))
-    rows = rows.withColumns({"kept_blocks": F.when(F.col("_fallback"), none).otherwise(F.col("_kept")), "dropped_blocks": F.when(F.col("_fallback"), F.concat("_out", moved)).otherwise(F.col("_out")), "clean_text": F.when(F.col("_fallback"), "").otherwise(F.col("_clean"))})
-    kind = F.when(F.col("_fallback"), "fallback_noise").otherwise(page_type(F.col("url"), F.col("title"), F.col("clean_text"), F.size("dropped_blocks")))
-    return rows.select(
-        *keys,
-        "url",
-        "title",
-        kind.alias("page_type"),
-        F.aggregate("kept_blocks", F.lit(0), lambda a, b: a + b["score"]).alias("relevance_score"),
-        F.size("kept_blocks").alias("useful_block_count"),
-        F.size("dropped_blocks").alias("dropped_block_count"),
-        "clean_text",
-        F.array_sort(F.array_distinct(F.flatten(F.transform("dropped_blocks", lambda b: b["reasons"])))).alias("dropped_reasons"),
-        "kept_blocks",
-        "dropped_blocks",
-        signals(F.col("clean_text")).alias("signals"),
-    )
+    raw = F.coalesce(F.col(text), F.lit(""))
+    rows = pages.select(*keys, F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(title), F.lit("")).alias("title"), raw.alias("_raw"), tx.compatible(raw).alias("_text"))
+
+    def judged(all_: Column) -> Column:
+        kept, out = F.filter(all_, lambda b: b["kept"]), F.filter(all_, lambda b: ~b["kept"])
+        moved = F.transform(kept, lambda b: F.struct(b["pos"].alias("pos"), b["text"].alias("text"), F.lit(False).alias("kept"), F.lit(0).alias("score"), F.array(F.lit("fallback_page")).alias("reasons")))
+
+        def of(clean: Column) -> Column:
+            fallback = (tx.pattern_hits(F.col("_raw"), terms.FALLBACK_PATTERNS) > 0) & ((F.length(clean) < 500) | navigation(clean))
+            lost = F.struct(F.lit(True).alias("fallback"), F.slice(kept, 1, 0).alias("kept"), F.concat(out, moved).alias("dropped"), F.lit("").alias("clean"))
+            whole = F.struct(F.lit(False).alias("fallback"), kept.alias("kept"), out.alias("dropped"), clean.alias("clean"))
+            return F.when(fallback, lost).otherwise(whole)
+
+        return tx.let(F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"), of)
+
+    def result(p: Column) -> Column:
+        kind = F.when(p["fallback"], "fallback_noise").otherwise(page_type(F.col("url"), F.col("title"), p["clean"], F.size(p["dropped"])))
+        return F.struct(
+            kind.alias("page_type"),
+            F.aggregate(p["kept"], F.lit(0), lambda a, b: a + b["score"]).alias("relevance_score"),
+            F.size(p["kept"]).alias("useful_block_count"),
+            F.size(p["dropped"]).alias("dropped_block_count"),
+            p["clean"].alias("clean_text"),
+            F.array_sort(F.array_distinct(F.flatten(F.transform(p["dropped"], lambda b: b["reasons"])))).alias("dropped_reasons"),
+            p["kept"].alias("kept_blocks"),
+            p["dropped"].alias("dropped_blocks"),
+            signals(p["clean"]).alias("signals"),
+        )
+
+    page = tx.let(tx.let(scored_list(block_list(F.col("_text")), F.col("url"), F.col("title")), judged), result)
+    # a generator keeps the whole of it one value: a projection would repeat it for each column
+    return rows.select(*keys, "url", "title", F.explode(F.array(page)).alias("p")).select(*keys, "url", "title", "p.*")

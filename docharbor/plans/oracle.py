@@ -75,21 +75,76 @@ LINKS = f"""raw as (
 ), links as (select *, {scheme("page_url")} || '://' || {part("page_url", 2)} || href as url from raw)"""
 
 
-def block_score_parts(block: str, url: str, title: str) -> str:
-    """score and reasons of a block that has nothing to sanitise away."""
-    low = f"lower({block})"
+def useful(low: str) -> str:
+    return f"({hits(low, terms.USEFUL_TERMS)} + {hits(low, terms.FAMILIES)} + {pattern_hits(low, terms.SPEC_PATTERNS)})"
+
+
+def drop_line(x: str) -> str:
+    low, noise = f"lower({x})", pattern_hits(x, terms.NOISE_PATTERNS)
+    return f"({contains_any(low, terms.COOKIE_WORDS)} or (starts_with({x}, '|') and {noise} >= 1) or ({noise} >= 2 and {useful(low)} = 0))"
+
+
+def lines(x: str) -> str:
+    return f"list_filter(string_split({x}, chr(10)), lambda y: y <> '')"
+
+
+def navigation(x: str) -> str:
+    ls = lines(x)
+    nav = f"len(list_filter({ls}, lambda y: {contains_any('lower(y)', terms.NAVIGATION)}))"
+    return f"cast(len({ls}) = 0 or (len({ls}) >= 3 and len(list_filter({ls}, lambda y: length(y) <= 35)) / len({ls}) >= 0.8 and {nav} >= 2 and {useful(f'lower({x})')} <= {nav}) as int)"
+
+
+PARTS = (
+    ("noise_url", -2),
+    ("table_like", -2),
+    ("noise_terms", -2),
+    ("fallback_page", -4),
+    ("medical_terms", 1),
+    ("product_family", 2),
+    ("title_context", 1),
+    ("title_family", 2),
+    ("spec_pattern", 2),
+    ("thin_block", -1),
+    ("cookie_heavy", -3),
+    ("junk_structure", -3),
+    ("navigation_block", -4),
+    ("sanitized", 0),
+)
+
+
+def block_parts(clean: str, block: str, url: str, title: str) -> str:
+    """The list of what each reason of PARTS counts."""
+    low, ls = f"lower({clean})", lines(clean)
+    cookieish = f"len({ls}) >= 4 and len(list_filter({ls}, lambda y: not {contains_any('lower(y)', terms.COOKIE_WORDS)})) = 0"
     parts = [
-        ("noise_url", f"cast({contains_any(f'lower({url})', terms.URL_NOISE)} as int)", -2),
-        ("noise_terms", pattern_hits(block, terms.NOISE_PATTERNS), -2),
-        ("fallback_page", pattern_hits(block, terms.FALLBACK_PATTERNS), -4),
-        ("medical_terms", f"least({hits(low, terms.USEFUL_TERMS)}, 4)", 1),
-        ("product_family", hits(low, terms.FAMILIES), 2),
-        ("title_context", f"least({hits(f'lower({title})', terms.USEFUL_TERMS)}, 2)", 1),
-        ("title_family", hits(f"lower({title})", terms.FAMILIES), 2),
-        ("spec_pattern", pattern_hits(block, terms.SPEC_PATTERNS), 2),
-        ("thin_block", f"cast(length({block}) < 40 as int)", -1),
-        ("junk_structure", f"cast(length({block}) - length(regexp_replace({block}, '[0-9]', '', 'g')) > length({block}) * 0.2 and not contains({low}, 'product') as int)", -3),
+        f"cast({contains_any(f'lower({url})', terms.URL_NOISE)} as int)",
+        f"cast(len(list_filter({ls}, lambda y: starts_with(y, '|'))) >= 3 as int)",
+        pattern_hits(clean, terms.NOISE_PATTERNS),
+        pattern_hits(clean, terms.FALLBACK_PATTERNS),
+        f"least({hits(low, terms.USEFUL_TERMS)}, 4)",
+        hits(low, terms.FAMILIES),
+        f"least({hits(f'lower({title})', terms.USEFUL_TERMS)}, 2)",
+        hits(f"lower({title})", terms.FAMILIES),
+        pattern_hits(clean, terms.SPEC_PATTERNS),
+        f"cast(length({clean}) < 40 as int)",
+        f"cast({occurrences(low, ['cookie'])} >= 2 or {occurrences(low, ['session'])} >= 2 as int)",
+        f"cast(len({ls}) = 0 or ({cookieish}) or (length({clean}) - length(regexp_replace({clean}, '[0-9]', '', 'g')) > length({clean}) * 0.2 and not contains({low}, 'product')) as int)",
+        navigation(clean),
+        f"cast(length({clean}) < length({block}) as int)",
     ]
-    score = " + ".join(f"{n} * ({w})" for _, n, w in parts)
-    reasons = "list_filter([" + ", ".join(f"case when {n} > 0 then {q(name)} end" for name, n, _ in parts) + "], lambda r: r is not null)"
-    return f"cast({score} as int) as score, array_to_string({reasons}, ',') as reasons"
+    return "[" + ", ".join(parts) + "]"
+
+
+def weighted(parts: str) -> str:
+    return "(" + " + ".join(f"{parts}[{n}] * ({w})" for n, (_, w) in enumerate(PARTS, 1)) + ")"
+
+
+def reasons(parts: str) -> str:
+    return "list_filter([" + ", ".join(f"case when {parts}[{n}] > 0 then {q(name)} end" for n, (name, _) in enumerate(PARTS, 1)) + "], lambda r: r is not null)"
+
+
+def page_type(url: str, title: str, clean: str, n_out: str, fallback: str) -> str:
+    label, hay = f"lower({url} || chr(10) || {title})", f"lower({url} || chr(10) || {title} || chr(10) || {clean})"
+    return f"""case when {fallback} then 'fallback_noise' when {contains_any(f'lower({url})', terms.LEGAL_URL)} then 'legal_noise' when {contains_any(label, ('support', 'documentation'))} then 'support_noise'
+when {pattern_hits(hay, terms.FALLBACK_PATTERNS)} > 0 then 'fallback_noise' when {contains_any(hay, ('product', 'system', 'scanner'))} then case when {contains_any(hay, terms.FAMILIES)} then 'product_detail' else 'product_category' end
+when {clean} <> '' and length({clean}) < 160 and {n_out} > 0 then 'mixed_low_quality' else 'unknown' end"""

@@ -219,22 +219,22 @@ def block_signals(spark, sf_dir):
 def _quality_sql() -> str:
     low = "lower(text)"
     cookies, hints = o.occurrences(low, terms.COOKIE_MARKERS), o.occurrences(low, terms.CONTENT_HINTS)
-    lowq = f"(text = '' or {cookies} >= 3 or (length(text) < 300 and {cookies} > {hints}))"
+    tables = "len(list_filter(regexp_split_to_array(text, '\\r\\n|[\\x0A-\\x0D\\x{85}\\x{2028}\\x{2029}]'), lambda x: regexp_matches(x, '^\\s*\\|')))"
+    lowq = f"(text = '' or {cookies} >= 3 or ({tables} >= 4 and {hints} = 0) or (length(text) < 300 and {cookies} > {hints}))"
     n = f"cast({lowq} as int) + cast({hints} = 0 as int) + cast({o.occurrences('lower(substr(text, 1, 1500))', terms.COOKIE_MARKERS)} >= 3 as int)"
-    return f"select doc_id, case {n} when 0 then 'good' when 1 then 'low_confidence' else 'bad_source_page' end as source_quality from documents where not regexp_matches(text, '(^|\\n)\\s*\\|')"
+    return f"select doc_id, case {n} when 0 then 'good' when 1 then 'low_confidence' else 'bad_source_page' end as source_quality from documents"
 
 
 @query(_quality_sql())
 def source_quality(spark, sf_dir):
     none = F.expr("cast(array() as array<string>)")
-    rows = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(^|\n)\s*\|"))
+    rows = read(spark, sf_dir, "documents")
     return rows.select("doc_id", ql.source_quality(F.lit(""), F.col("text"), none, none)["source_quality"].alias("source_quality"))
 
 
-@query(f"select doc_id, {o.fold('text')} as folded from documents where regexp_matches(text, '^[\\x00-\\x7FàâäçéèêëîïôöùûüÿñáíóúÀÂÄÇÉÈÊËÎÏÔÖÙÛÜÑÁÍÓÚß]*$')")
+@query(f"select doc_id, {o.fold('text')} as folded from documents")
 def ascii_fold(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where(F.col("text").rlike("^[\\x00-\\x7FàâäçéèêëîïôöùûüÿñáíóúÀÂÄÇÉÈÊËÎÏÔÖÙÛÜÑÁÍÓÚß]*$"))
-    return rows.select("doc_id", tx.norm_text(F.col("text")).alias("folded"))
+    return read(spark, sf_dir, "documents").select("doc_id", tx.norm_text(F.col("text")).alias("folded"))
 
 
 @query(f"select doc_id, ({o.contains_any('text', terms.GERMAN_HINTS)} or (regexp_matches(text, '[äöüß]') and {o.hits('text', terms.USEFUL_TERMS)} + {o.hits('text', terms.FAMILIES)} + {o.pattern_hits('text', terms.SPEC_PATTERNS)} = 0)) as foreign_text from documents")
@@ -250,7 +250,10 @@ def text_summary(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("markdown"), F.lit("https://example.org/page").alias("url"), F.lit("").alias("title"))
+    """Documents as pages of three kinds of address and of title; sentences that end a line end a block."""
+    kind = F.when(F.col("doc_id") % 5 == 0, "legal").when(F.col("doc_id") % 7 == 0, "support").otherwise("scanners")
+    title = F.when(F.col("doc_id") % 3 == 0, "Magnetom MRI scanner").when(F.col("doc_id") % 3 == 1, "").otherwise("News")
+    return read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("markdown"), F.concat(F.lit("https://example.org/"), kind).alias("url"), title.alias("title"))
 
 
 BLOCKS = r"""cut as (select doc_id, string_split(replace(text, '.' || chr(10), '.' || chr(10) || chr(10)), chr(10)) as ls from documents),
@@ -265,23 +268,26 @@ def doc_blocks(spark, sf_dir):
     return bl.split_blocks(_blocks(spark, sf_dir), ["doc_id"])
 
 
-CLEAN = f"not {o.contains_any('lower(block)', terms.COOKIE_WORDS)} and not contains(block, '|') and not contains(block, chr(10)) and {o.pattern_hits('block', terms.NOISE_PATTERNS)} = 0"
+SCORED = BLOCKS + f""",
+of_page as (select *, 'https://example.org/' || case when doc_id % 5 = 0 then 'legal' when doc_id % 7 = 0 then 'support' else 'scanners' end as url, case doc_id % 3 when 0 then 'Magnetom MRI scanner' when 1 then '' else 'News' end as title from blocks),
+cleaned as (select *, array_to_string(list_filter(string_split(block, chr(10)), lambda x: not {o.drop_line('x')}), chr(10)) as clean from of_page),
+parted as (select *, {o.block_parts('clean', 'block', 'url', 'title')} as parts from cleaned),
+judged as (select doc_id, pos, url, title, clean, case when clean = '' then -5 else {o.weighted('parts')} end as points, case when clean = '' then ['fully_sanitized'] else {o.reasons('parts')} end as why from parted),
+again as (select *, points > 0 and row_number() over (partition by doc_id, lower(clean), points > 0 order by pos) > 1 as again from judged),
+scored as (select doc_id, pos, url, title, clean as text, cast(case when again then 0 else points end as int) as score, case when again then ['duplicate_block'] else why end as reasons, points > 0 and not again as kept from again)"""
 
 
-@query(f"with {BLOCKS}, ok as (select * from blocks where {CLEAN}) select doc_id, pos, {o.block_score_parts('block', o.q('https://example.org/page'), o.q(''))} from ok")
+@query(f"with {SCORED} select doc_id, pos, text, score, array_to_string(reasons, ',') as reasons, kept from scored")
 def block_score(spark, sf_dir):
-    """Scores of one-line blocks without notices."""
-    rows = bl.split_blocks(_blocks(spark, sf_dir), ["doc_id"])
-    b = F.col("block")
-    rows = rows.where(~tx.any_of(F.lower(b), terms.COOKIE_WORDS) & ~b.contains("|") & ~b.contains("\n") & (bl.noise(b) == 0))
-    got = rows.withColumn("text", bl.sanitize(b)).withColumns(bl.score_columns(b, F.col("text"), F.lit("https://example.org/page"), F.lit("")))
-    return got.select("doc_id", "pos", "score", F.array_join("reasons", ",").alias("reasons"))
+    """Every block with its clean text, score and reasons; repeats of a page's kept blocks are dropped."""
+    return bl.score_blocks(_blocks(spark, sf_dir), ["doc_id"]).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query(f"with {BLOCKS}, k as (select *, row_number() over (partition by doc_id, lower(block) order by pos) as n from blocks where length(block) >= 40) select doc_id, pos, n > 1 as again from k")
+@query(f"with {SCORED} select doc_id, pos, list_contains(reasons, 'duplicate_block') as again from scored where kept or list_contains(reasons, 'duplicate_block')")
 def block_dedupe_first(spark, sf_dir):
-    rows = bl.split_blocks(_blocks(spark, sf_dir), ["doc_id"]).where(F.length("block") >= 40).withColumn("kept", F.lit(True))
-    return rows.select("doc_id", "pos", od.kept_once(rows, ["doc_id", F.lower("block")], ["pos"], F.col("kept")).alias("again"))
+    rows = bl.score_blocks(_blocks(spark, sf_dir), ["doc_id"])
+    again = F.array_contains("reasons", "duplicate_block")
+    return rows.where(F.col("kept") | again).select("doc_id", "pos", again.alias("again"))
 
 
 def _class_sql() -> str:
@@ -301,7 +307,13 @@ def page_class(spark, sf_dir):
     return rows.select("doc_id", kind.alias("page_type"), F.array_join(tx.found_terms(F.lower("text"), terms.USEFUL_TERMS, 12), ",").alias("found"))
 
 
-@query()
+@query(f"""with {SCORED}, pages_ as (select doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) as raw, 'https://example.org/' || case when doc_id % 5 = 0 then 'legal' when doc_id % 7 = 0 then 'support' else 'scanners' end as url, case doc_id % 3 when 0 then 'Magnetom MRI scanner' when 1 then '' else 'News' end as title from documents),
+summed as (select p.doc_id, any_value(p.raw) as raw, any_value(p.url) as url, any_value(p.title) as title, coalesce(string_agg(s.text, chr(10) || chr(10) order by s.pos) filter (s.kept), '') as clean, coalesce(sum(s.score) filter (s.kept), 0) as points,
+count(*) filter (s.kept) as n_kept, count(*) filter (not s.kept) as n_out, coalesce(flatten(list(s.reasons) filter (not s.kept)), []) as why from pages_ p left join scored s on s.doc_id = p.doc_id group by 1),
+lost as (select *, {o.pattern_hits('raw', terms.FALLBACK_PATTERNS)} > 0 and (length(clean) < 500 or {o.navigation('clean')} > 0) as fallback from summed),
+done as (select doc_id, url, title, fallback, case when fallback then '' else clean end as clean_text, case when fallback then 0 else points end as points, case when fallback then 0 else n_kept end as n_kept, case when fallback then n_out + n_kept else n_out end as n_out,
+case when fallback and n_kept > 0 then list_append(why, 'fallback_page') else why end as why from lost)
+select doc_id, {o.page_type('url', 'title', 'clean_text', 'n_out', 'fallback')} as page_type, cast(points as int) as relevance_score, cast(n_kept as int) as useful_block_count, cast(n_out as int) as dropped_block_count, clean_text, array_to_string(list_sort(list_distinct(why)), ',') as dropped_reasons from done""")
 def page_etl(spark, sf_dir):
     """The whole text pipeline of each document as a page."""
     got = bl.page_results(_blocks(spark, sf_dir), ["doc_id"])

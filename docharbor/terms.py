@@ -180,6 +180,9 @@ COOKIE_WORDS = ("cookie", "session", "local storage", "privacy", "auth0", "persi
 LEGAL_URL = ("privacy", "cookie", "legal", "terms")
 GERMAN_HINTS = ("nachhaltige", "gesundheitswesen", "aktuelle", "kundengeschichten", "wirtschaftlichkeit", "beschließt", "hochhaus", "universitätsklinikum", "sichere", "hygiene", "im klinikalltag", "zukunftsfähige", "hochmoderne", "setzt neue standards")
 
+#: A rule of a markdown table.
+TABLE_RULE = r"^\|?(?:\s*:?-{3,}:?\s*\|)+\s*$"
+
 # Source pages.
 COOKIE_MARKERS = ("cookieconsent", "http cookie", "html local storage", "indexeddb", "privacy policy", "used to store", "session state", "auth0", "cookiebot")
 CONTENT_HINTS = ("mri", "magnetic resonance", "ct", "computed tomography", "ultrasound", "mammography", "radiography", "x-ray", "laboratory diagnostics", "scanner", "system", "platform", "workflow", "product", "solution")

@@ -58,9 +58,18 @@ def test_joins(spark):
 def test_folding(spark):
     rng = random.Random(8)
     texts = ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(0xA0, 0x24F), 32])) for _ in range(30)) for _ in range(200)]
-    wide = ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(0x250, 0xD000), 32])) for _ in range(30)) for _ in range(100)]
+    wide = ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(0x250, 0xD000), rng.randint(0xF900, 0xFFEF), rng.randint(0x1D400, 0x1D7FF), 32])) for _ in range(30)) for _ in range(200)]
     fold = lambda s: " ".join(unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower().split())
-    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.norm_text(F.col("t")).alias("n"), tx.norm_text(F.col("t"), exact=True).alias("x")).collect():
-        assert r.n == r.x == fold(r.t), r.t
-    for r in spark.createDataFrame([(t,) for t in wide], "t string").select("t", tx.norm_text(F.col("t"), exact=True).alias("x"), tx.collapse(F.col("t")).alias("c")).collect():
-        assert r.x == fold(r.t) and r.c == re.sub(r"\s+", " ", r.t).strip()
+    rows = spark.createDataFrame([(t,) for t in texts + wide], "t string")
+    for r in rows.select("t", tx.norm_text(F.col("t")).alias("n"), tx.compatible(F.col("t")).alias("k"), tx.collapse(F.col("t")).alias("c")).collect():
+        assert (r.n, r.k, r.c) == (fold(r.t), unicodedata.normalize("NFKC", r.t), re.sub(r"\s+", " ", r.t).strip()), r.t
+
+
+def test_needles_lose_no_match(spark):
+    from docharbor import terms
+
+    patterns = [*terms.NOISE_PATTERNS, *terms.SPEC_PATTERNS, *terms.FALLBACK_PATTERNS]
+    texts = ["3 Tesla 64 SLICE 70 cm bore 1,200 tests/h 8 channel 5mm", "Page was not found 404, check if the URL", "check if url, we moved the page; deleted it", " | ".join(p[2:-2].upper() for p in terms.NOISE_PATTERNS), "\u017fe\u017fsion  per\u017fistent", "nothing"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[tx.pattern_hits(F.col("t"), [p]).alias(f"p{n}") for n, p in enumerate(patterns)]).collect()
+    for r in got:
+        assert [r[f"p{n}"] for n in range(len(patterns))] == [int(bool(re.search(p, r.t, re.I))) for p in patterns], r.t

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import terms
-from .text import any_of, let, occurrences
+from .text import any_of, let, lines, occurrences
 
 
 def block_signals(html: Column, title: Column | str = "") -> Column:
@@ -24,7 +24,7 @@ def content_hints(x: Column) -> Column:
 
 
 def table_lines(x: Column) -> Column:
-    return F.when(x.contains("|"), F.size(F.filter(F.split(x, r"\R"), lambda line: line.rlike(r"(?U)^\s*\|")))).otherwise(0)
+    return F.when(x.contains("|"), F.size(F.filter(lines(x), lambda line: line.rlike(r"(?U)^\s*\|")))).otherwise(0)
 
 
 def _low_quality(md: Column, cookies: Column, hints: Column) -> Column:

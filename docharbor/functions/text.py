@@ -84,13 +84,27 @@ def found_terms(col: Column, terms: Iterable[str], most: int) -> Column:
     return F.slice(F.array_compact(F.array(*[F.when(col.contains(t), t) for t in sorted(terms)])), 1, most)
 
 
+#: Characters that are surely no white space, but for the space.
+PLAIN = "!-~\u00a1-\u167f\u1681-\u1fff"
+
+
 def collapse(col: Column) -> Column:
-    """White space runs as one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(col, r"(?U)\s+", " "), r"^ | $", "")
+    """White space runs as one space, none at the ends. What is so already isn't rewritten."""
+
+    def of(x: Column) -> Column:
+        clean = F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^ | $", "")
+        return F.when(x.contains("  ") | x.startswith(" ") | x.endswith(" ") | x.rlike(f"[^ {PLAIN}]"), clean).otherwise(x)
+
+    return let(col, of)
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return let(col, lambda x: F.when(x.rlike(f"^[^{PLAIN}]|[^{PLAIN}]$"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(x))
+
+
+def lines(col: Column) -> Column:
+    """The lines of a text, by any kind of line break."""
+    return let(col, lambda x: F.when(x.rlike("[\x0b-\r\x85\u2028\u2029]"), F.split(x, r"\R")).otherwise(F.split(x, "\n")))
 
 
 @cache
@@ -107,23 +121,22 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
     return one, many
 
 
-def _several(col: Column, many: dict[str, str]) -> Column:
+def _replaced(col: Column, one: dict[str, str], many: dict[str, str]) -> Column:
     pairs = F.from_json(F.lit(json.dumps([{"c": c, "a": a} for c, a in many.items()])), "array<struct<c:string,a:string>>")  # folded into one literal
-    found = f"[{''.join(many)}]"
-    return F.when(col.rlike(found), F.aggregate(pairs, col, lambda acc, p: F.replace(acc, p["c"], p["a"]))).otherwise(col)
+    return F.translate(F.aggregate(pairs, col, lambda acc, p: F.replace(acc, p["c"], p["a"])), "".join(one), "".join(one.values()))
 
 
 def ascii_fold(col: Column) -> Column:
     """The compatibility decomposition (NFKD) without what isn't ASCII. All in the JVM; ASCII is left as it is, and letters beyond Latin cost only the texts that have some."""
     one, many = _folds()
-    near, far = ({c: a for c, a in one.items() if (c < "\u0250") == x} for x in (True, False))
+    latin, others = (({c: a for c, a in one.items() if (c < "\u0250") == x}, {c: a for c, a in many.items() if (c < "\u0250") == x}) for x in (True, False))
 
-    def fold(x: Column) -> Column:
-        x = _several(x, many)
-        x = F.when(x.rlike("[^\\x00-\u024f]"), F.translate(x, "".join(far), "".join(far.values()))).otherwise(x)
-        return F.regexp_replace(F.translate(x, "".join(near), "".join(near.values())), r"[^\x00-\x7F]", "")
+    def folded(x: Column) -> Column:
+        x = F.when(x.rlike(f"[{''.join(latin[1])}]"), _replaced(x, {}, latin[1])).otherwise(x)
+        return F.regexp_replace(F.translate(x, "".join(latin[0]), "".join(latin[0].values())), r"[^\x00-\x7F]", "")
 
-    return F.when(col.rlike(r"[^\x00-\x7F]"), fold(col)).otherwise(col)
+    far = F.when(col.rlike("[^\\x00-\u024f\u0300-\u036f]"), _replaced(col, *others)).otherwise(col)
+    return F.when(col.rlike(r"[^\x00-\x7F]"), let(far, folded)).otherwise(col)
 
 
 @F.pandas_udf(T.StringType())
@@ -149,8 +162,8 @@ def norm_line(col: Column) -> Column:
 
 def first_line(col: Column) -> Column:
     """The first line that isn't blank, stripped; empty if there is none."""
-    lines = F.filter(F.transform(F.split(col, r"\R"), strip), lambda x: x != "")
-    return F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    found = F.filter(F.transform(lines(col), strip), lambda x: x != "")
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 
 def summary(col: Column, sentences: int = 3) -> Column:

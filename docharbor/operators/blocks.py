@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import terms
 from ..functions import text as tx
+from .lineage import spread
 
 
 def noise(x: Column) -> Column:
@@ -35,38 +36,43 @@ def drop_line(line: Column) -> Column:
 
 
 def _lines(block: Column) -> Column:
-    return F.filter(F.transform(F.split(block, r"\R"), tx.strip), lambda x: x != "")
+    return F.filter(F.transform(tx.lines(block), tx.strip), lambda x: x != "")
 
 
 def sanitize(block: Column) -> Column:
-    lines = F.filter(F.transform(F.split(block, r"\R"), lambda x: tx.norm_line(x)), lambda x: (x != "") & ~drop_line(x))
+    lines = F.filter(F.transform(tx.lines(block), tx.norm_line), lambda x: (x != "") & ~drop_line(x))
     return F.array_join(lines, "\n")
 
 
-def junk(block: Column) -> Column:
-    digits = F.length(block) - F.length(F.regexp_replace(block, r"(?U)\d", ""))
-    notices = tx.let(_lines(block), lambda lines: (F.size(lines) == 0) | ((F.size(lines) >= 4) & F.forall(lines, cookieish)))
-    return notices | ((digits > F.length(block) * 0.2) & ~F.lower(block).contains("product"))
+def junk(block: Column, lines: Column | None = None) -> Column:
+    """Nothing but notices, or a fifth of digits. lines: those of the block, if they are at hand."""
+    wide = block.rlike("[^\\x00-\u024f]")
+    rest = F.when(wide, F.regexp_replace(block, r"(?U)\d", "")).otherwise(F.regexp_replace(block, "[0-9]", ""))
+    notices = tx.let(_lines(block) if lines is None else lines, lambda ls: (F.size(ls) == 0) | ((F.size(ls) >= 4) & F.forall(ls, cookieish)))
+    return notices | ((F.length(block) - F.length(rest) > F.length(block) * 0.2) & ~F.lower(block).contains("product"))
 
 
-def navigation(block: Column) -> Column:
-    def judged(lines: Column) -> Column:
-        n = F.size(lines)
-        short, nav = F.size(F.filter(lines, lambda x: F.length(x) <= 35)), F.size(F.filter(lines, lambda x: tx.any_of(x, terms.NAVIGATION)))
-        return (n == 0) | ((n >= 3) & (short / F.greatest(n, F.lit(1)) >= 0.8) & (nav >= 2) & (useful(F.lower(block)) <= nav))
+def navigation(block: Column, lines: Column | None = None) -> Column:
+    """Short lines of a menu, with as many menu words as useful terms."""
 
-    return tx.let(F.transform(_lines(block), F.lower), judged)
+    def judged(ls: Column) -> Column:
+        n = F.size(ls)
+        short = F.size(F.filter(ls, lambda x: F.length(x) <= 35))
+        menu = tx.let(F.size(F.filter(ls, lambda x: tx.any_of(F.lower(x), terms.NAVIGATION))), lambda nav: (nav >= 2) & (useful(F.lower(block)) <= nav))
+        return (n == 0) | ((n >= 3) & (short / F.greatest(n, F.lit(1)) >= 0.8) & menu)
+
+    return tx.let(_lines(block) if lines is None else lines, judged)
 
 
 def block_list(text: Column) -> Column:
     """The blocks of a text in compatible form: runs of lines between blank ones, lines normalised, table rules left out."""
-    lines = F.filter(F.transform(F.split(text, r"\R"), tx.norm_line), lambda x: ~x.rlike(terms.TABLE_RULE))
+    lines = F.filter(F.transform(tx.lines(text), tx.norm_line), lambda x: ~x.rlike(terms.TABLE_RULE))
     return F.filter(F.transform(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda x: F.trim(x, F.lit("\n"))), lambda x: x != "")
 
 
 def split_blocks(pages: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
     """(keys, pos, block): the blocks of each page, in order. Null text: no blocks."""
-    return pages.select(*keys, tx.compatible(F.coalesce(F.col(text), F.lit(""))).alias("_text")).select(*keys, F.posexplode(block_list(F.col("_text"))).alias("pos", "block"))
+    return spread(pages.select(*keys, text)).select(*keys, tx.compatible(F.coalesce(F.col(text), F.lit(""))).alias("_text")).select(*keys, F.posexplode(block_list(F.col("_text"))).alias("pos", "block"))
 
 
 def score(block: Column, clean: Column, url: Column, title: Column) -> Column:
@@ -74,7 +80,8 @@ def score(block: Column, clean: Column, url: Column, title: Column) -> Column:
 
     def judged(x: Column) -> Column:
         low, t = x["low"], x["title"]
-        pipes = F.size(F.filter(_lines(clean), lambda line: line.startswith("|")))
+        lines = x["lines"]
+        pipes = F.size(F.filter(lines, lambda line: line.startswith("|")))
         parts = [
             ("noise_url", tx.any_of(x["url"], terms.URL_NOISE).cast("int"), -2),
             ("table_like", F.when(clean.contains("|"), (pipes >= 3).cast("int")).otherwise(0), -2),
@@ -87,8 +94,8 @@ def score(block: Column, clean: Column, url: Column, title: Column) -> Column:
             ("spec_pattern", tx.pattern_hits(clean, terms.SPEC_PATTERNS), 2),
             ("thin_block", (F.length(clean) < 40).cast("int"), -1),
             ("cookie_heavy", ((tx.occurrences(low, ["cookie"]) >= 2) | (tx.occurrences(low, ["session"]) >= 2)).cast("int"), -3),
-            ("junk_structure", junk(clean).cast("int"), -3),
-            ("navigation_block", navigation(clean).cast("int"), -4),
+            ("junk_structure", junk(clean, lines).cast("int"), -3),
+            ("navigation_block", navigation(clean, lines).cast("int"), -4),
             ("sanitized", (F.length(clean) < F.length(block)).cast("int"), 0),
         ]
         names, weights = [name for name, _, _ in parts], [w for _, _, w in parts]
@@ -102,7 +109,7 @@ def score(block: Column, clean: Column, url: Column, title: Column) -> Column:
 
         return tx.let(F.array(*[n for _, n, _ in parts]), summed)
 
-    texts = F.struct(F.lower(clean).alias("low"), F.lower(url).alias("url"), F.lower(title).alias("title"))
+    texts = F.struct(F.lower(clean).alias("low"), F.lower(url).alias("url"), F.lower(title).alias("title"), _lines(clean).alias("lines"))
     nothing = F.struct(F.lit(-5).alias("score"), F.array(F.lit("fully_sanitized")).alias("reasons"), F.lit(False).alias("kept"))
     return F.when(clean == "", nothing).otherwise(tx.let(texts, judged))
 
@@ -135,7 +142,7 @@ def scored_list(blocks: Column, url: Column, title: Column) -> Column:
 
 def score_blocks(pages: DataFrame, keys: list[str], text: str = "markdown", url: str = "url", title: str = "title") -> DataFrame:
     """(keys, pos, text, kept, score, reasons) of each block of each page."""
-    rows = pages.select(*keys, tx.compatible(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.coalesce(F.col(url), F.lit("")).alias("_url"), F.coalesce(F.col(title), F.lit("")).alias("_title"))
+    rows = spread(pages.select(*keys, text, url, title)).select(*keys, tx.compatible(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.coalesce(F.col(url), F.lit("")).alias("_url"), F.coalesce(F.col(title), F.lit("")).alias("_title"))
     return rows.select(*keys, F.explode(scored_list(block_list(F.col("_text")), F.col("_url"), F.col("_title"))).alias("b")).select(*keys, "b.*")
 
 
@@ -171,7 +178,7 @@ def page_results(pages: DataFrame, keys: list[str], text: str = "markdown", url:
     A page whose raw text reads like an error page, and whose clean text is short or mere navigation, loses all blocks and is fallback_noise.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = pages.select(*keys, F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(title), F.lit("")).alias("title"), raw.alias("_raw"), tx.compatible(raw).alias("_text"))
+    rows = spread(pages.select(*keys, text, url, title)).select(*keys, F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(title), F.lit("")).alias("title"), raw.alias("_raw"), tx.compatible(raw).alias("_text"))
 
     def judged(all_: Column) -> Column:
         kept, out = F.filter(all_, lambda b: b["kept"]), F.filter(all_, lambda b: ~b["kept"])

@@ -17,6 +17,7 @@ from ..operators import blocks as bl
 from ..operators import entities, gazette, graph, tracker
 from ..operators import links as ln
 from ..operators import ordered as od
+from ..operators.lineage import spread
 from ..sources import html, listing, sinks
 from . import oracle as o
 from .fixtures import CARDS, CONTENT_TYPES, DUMPS, FILES, LISTINGS, NAMES, SITE, SITE_LINKS, VENDOR_URLS
@@ -228,18 +229,18 @@ def _quality_sql() -> str:
 @query(_quality_sql())
 def source_quality(spark, sf_dir):
     none = F.expr("cast(array() as array<string>)")
-    rows = read(spark, sf_dir, "documents")
+    rows = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", ql.source_quality(F.lit(""), F.col("text"), none, none)["source_quality"].alias("source_quality"))
 
 
 @query(f"select doc_id, {o.fold('text')} as folded from documents")
 def ascii_fold(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", tx.norm_text(F.col("text")).alias("folded"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.norm_text(F.col("text")).alias("folded"))
 
 
 @query(f"select doc_id, ({o.contains_any('text', terms.GERMAN_HINTS)} or (regexp_matches(text, '[äöüß]') and {o.hits('text', terms.USEFUL_TERMS)} + {o.hits('text', terms.FAMILIES)} + {o.pattern_hits('text', terms.SPEC_PATTERNS)} = 0)) as foreign_text from documents")
 def non_english(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", tx.looks_non_english(F.col("text")).alias("foreign_text"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.looks_non_english(F.col("text")).alias("foreign_text"))
 
 
 @query("""with p as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\.\\s+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as ps,
@@ -302,7 +303,7 @@ from (select *, 'https://example.org/' || case when doc_id % 5 = 0 then 'legal'
 @query(_class_sql())
 def page_class(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 5 == 0, "legal").when(F.col("doc_id") % 7 == 0, "support").otherwise("scanners")
-    rows = read(spark, sf_dir, "documents").withColumn("url", F.concat(F.lit("https://example.org/"), kind))
+    rows = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("url", F.concat(F.lit("https://example.org/"), kind))
     kind = bl.page_type(F.col("url"), F.lit(""), F.col("text"), (F.col("doc_id") % 2).cast("int"))
     return rows.select("doc_id", kind.alias("page_type"), F.array_join(tx.found_terms(F.lower("text"), terms.USEFUL_TERMS, 12), ",").alias("found"))
 
@@ -343,7 +344,7 @@ def date_roundtrip(spark, sf_dir):
     """Order dates, moved by twenty years, written in each form and read back."""
     day = F.to_date(F.col("o_orderdate") + F.expr("interval 20 years"))
     french = F.element_at(F.array(*map(F.lit, terms.MONTHS)), F.month("day"))
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"))
+    rows = spread(read(spark, sf_dir, "orders").select("o_orderkey", day.alias("day")))
     text = F.concat(F.lit("recueil du "), F.date_format("day", "d"), F.lit(" "), french, F.lit(" "), F.date_format("day", "yyyy"))
     cols = {"dotted": F.date_format("day", "'n' dd.MM.yyyy"), "compact": F.date_format("day", "yyyyMMdd'_a.pdf'"), "day_first": F.date_format("day", "'raa-'ddMMyyyy"), "french": text}
     return rows.select("o_orderkey", *[d.publication_date(v).alias(k) for k, v in cols.items()], d.year_in(text).alias("year"), d.month_in(text).alias("month"))

@@ -101,11 +101,32 @@ def crawl_focused(pages: DataFrame, links: DataFrame, start_url: str, modality:
     return crawl(pages, links, plan.start_url, include=plan.include, exclude=plan.exclude, **options)
 
 
-def map_site(pages: DataFrame, links: DataFrame, start_url: str, robots: DataFrame | None = None) -> DataFrame:
-    """All addresses (url) of the start's host that its pages lead to, sorted."""
+def map_site(pages: DataFrame, links: DataFrame, start_url: str, robots: DataFrame | None = None, max_pages: int | None = 200) -> DataFrame:
+    """All addresses (url) of the start's host that its pages lead to, sorted. links: (src, pos, dst).
+
+    Pages are read in the order in which they are found, as long as fewer than max_pages addresses are known: the page that reaches the number is
+    read whole, so there may be a few more. Without a number all pages are read.
+    """
+    spark = pages.sparkSession
     start, _ = ln._normal(start_url)
     good = pages.where("success").select(u.normalize(F.col("url")).alias("src")).distinct()
-    hops = links.select(u.normalize(F.col("src")).alias("src"), u.normalize(F.col("dst")).alias("dst")).where(u.same_host(F.col("dst"), F.lit(start)))
+    hops = links.select(u.normalize(F.col("src")).alias("src"), "pos", u.normalize(F.col("dst")).alias("dst")).where(u.same_host(F.col("dst"), F.lit(start)))
     hops = allowed(hops.join(good, "src"), robots, "dst")
-    seeds = pages.sparkSession.createDataFrame([(start,)], "node string")
-    return bfs_depth(hops, seeds).select(F.col("node").alias("url")).orderBy("url")
+    if not max_pages:
+        return bfs_depth(hops, spark.createDataFrame([(start,)], "node string")).select(F.col("node").alias("url")).orderBy("url")
+    front = spark.createDataFrame([(start, 0)], "url string, rank int")
+    seen, n = front.select("url"), 1
+    while n < max_pages:
+        step = hops.join(F.broadcast(front.select(F.col("url").alias("src"), "rank")), "src")  # as many rows as the cap and a page's links, at the most
+        new = cut(step.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("rank", "pos", "dst")).alias("at")).join(seen, "url", "left_anti"), "map")
+        last = -1
+        for r in new.groupBy("at.rank").agg(F.count("*").alias("n")).orderBy("rank").collect():  # a row for each page of the level
+            if n >= max_pages:
+                break
+            last, n = r.rank, n + r.n
+        if last < 0:
+            break
+        new = new.where(F.col("at.rank") <= last)
+        seen = cut(seen.unionByName(new.select("url")), "map")
+        front = cut(new.select("url", (F.row_number().over(Window.orderBy("at")) - 1).alias("rank")), "map")
+    return seen.orderBy("url")

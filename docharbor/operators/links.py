@@ -96,6 +96,18 @@ def crawl_priority(url: Column, start: Column) -> list[Column]:
     return [u.same_family(url, start).cast("int").desc(), product_relevant(url).cast("int").desc()]
 
 
+def family_pairs(pages: DataFrame, key: str, url: str = "url") -> DataFrame:
+    """(above, below, verified): pages of one host, the second at or below the first's path, itself included; verified by same_family.
+
+    An equi-join on host and path prefix: a page meets only the pages on its own path, so the work is that of the result.
+    """
+    p = pages.select(key, url, u.netloc(F.col(url)).alias("host"), u.prefix(F.col(url)).alias("prefix"))
+    parts = F.filter(F.split("prefix", "/"), lambda s: s != "")
+    ups = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(F.col("parts"), F.lit(1), n), "/")))
+    below = p.withColumn("parts", parts).select(F.col(key).alias("below"), F.col(url).alias("own"), "host", F.explode(F.array_distinct(ups)).alias("prefix"))
+    return p.withColumnRenamed(key, "above").join(below, ["host", "prefix"]).select("above", "below", u.same_family(F.col("own"), F.col(url), hosts=True).alias("verified"))
+
+
 def modality_of(url: str) -> str | None:
     return next((m for m, hints in terms.MODALITIES.items() if any(h in url.lower() for h in hints)), None)
 

@@ -1,7 +1,7 @@
 """The inventory of documents seen so far: new ones by anti-join, upserts as joins, summaries, runs and downloads.
 
-Tables are Parquet folders with a version for each change: a change writes a new version, then moves the pointer, so a table is never
-overwritten while it is read and a failed write leaves the old version in place.
+Tables are Parquet folders with a version for each change, and the largest complete version counts: a table is never overwritten while it is
+read, and a failed write leaves the old version in place. A repository has one writer at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import terms
 from ..functions import dates as d
 from ..functions import urls as u
+from .lineage import cut
 from .ordered import numbered, ordered_distinct
 
 RUNS = "id long, run_type string, started_at timestamp, finished_at timestamp, status string, regions_scanned int, months_scanned string, pdfs_discovered int, new_pdfs int, downloaded int, failed int, discovery_seconds double, db_seconds double, download_seconds double, excel_seconds double, total_seconds double, error string"
@@ -234,7 +235,7 @@ def create_baseline(repo: Repository, discover: Callable[..., DataFrame], order:
     run_id = repo.create_run(now, "archive-all", "archive_baseline")
     try:
         t = time.perf_counter()
-        docs = archive_documents(discover(years=None, months=None), order)
+        docs = cut(archive_documents(discover(years=None, months=None), order), "discovered")
         times = {"discovery_seconds": _since(t)}
         t = time.perf_counter()
         repo.upsert(docs, run_id, now, order)
@@ -263,7 +264,7 @@ def daily_check(repo: Repository, discover: Callable[..., DataFrame], order: lis
     run_id = repo.create_run(now, months)
     try:
         t = time.perf_counter()
-        docs = daily_documents(discover(years=[str(today.year)], months=[s[0] for s in scope]), scope, order)
+        docs = cut(daily_documents(discover(years=[str(today.year)], months=[s[0] for s in scope]), scope, order), "discovered")  # a live source may say something else the next time
         times = {"discovery_seconds": _since(t)}
         t = time.perf_counter()
         by_region = summarize_scope(docs, repo.documents()).collect()  # a row a region
@@ -286,7 +287,7 @@ def download_new(repo: Repository, run_id: int, download: Callable[[DataFrame],
     docs = documents if documents is not None else numbered(repo.new_documents(run_id), ["region", F.asc_nulls_last("publication_date"), "title", "url"], "seq")
     repo.upsert(docs, run_id, datetime.now(UTC), ["seq"])
     t = time.perf_counter()
-    done = download(docs)
+    done = cut(download(docs), "downloads")  # written once: a file is fetched once, however often its row is read
     times = {"download_seconds": _since(t)}
     repo.record_downloads(run_id, docs, done)
     s = summarize_downloads(done).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -17,7 +18,7 @@ from ..operators import blocks as bl
 from ..operators import entities, gazette, graph, tracker
 from ..operators import links as ln
 from ..operators import ordered as od
-from ..operators.lineage import spread
+from ..operators.lineage import shared_dir, spread
 from ..sources import html, listing, sinks
 from . import oracle as o
 from .fixtures import CARDS, CONTENT_TYPES, DUMPS, FILES, LISTINGS, NAMES, SITE, SITE_LINKS, VENDOR_URLS
@@ -88,11 +89,8 @@ def host_topk(spark, sf_dir):
 @query(f"select a.page_id as above, b.page_id as below from pages a join pages b on {o.host('a.url')} = {o.host('b.url')} and a.page_id <> b.page_id and {o.family('b.url', 'a.url')}")
 def same_family_join(spark, sf_dir):
     """Pairs of pages of one host, the second at or below the first's path: an equi-join on host and path prefix, no pairs of a host are tried."""
-    p = read(spark, sf_dir, "pages").select("page_id", u.netloc(F.col("url")).alias("host"), u.prefix(F.col("url")).alias("prefix"))
-    parts = F.filter(F.split("prefix", "/"), lambda s: s != "")
-    ups = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(F.col("parts"), F.lit(1), n), "/")))
-    below = p.withColumn("parts", parts).select(F.col("page_id").alias("below"), "host", F.explode(F.array_distinct(ups)).alias("prefix"))
-    return p.withColumnRenamed("page_id", "above").join(below, ["host", "prefix"]).where("above != below").select("above", "below")
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    return ln.family_pairs(p, "page_id").where("above != below and verified").select("above", "below")
 
 
 @query(f"select id, url, {o.first_hit('lower(url)', {'a': ('de',)}, o.q('-'))} as german from {values(VENDOR_URLS, 'id, url')}")
@@ -424,10 +422,19 @@ def known_and_new(spark, sf_dir):
     return flag(tracker.known(docs, seen), True).unionByName(flag(tracker.unknown(docs, seen), False))
 
 
-@query("select exists(select 1 from orders where o_orderstatus = 'F') as baseline")
+@query("select o_orderstatus as status, o_orderstatus = 'F' as baseline from orders group by 1")
 def baseline_exists(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").limit(1)
-    return rows.agg((F.count("*") > 0).alias("baseline"))
+    """Whether a repository's runs have a finished baseline: a run for each order of a status, of which one counts as finished."""
+    rows = read(spark, sf_dir, "orders")
+    out = []
+    for (status,) in rows.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect():  # three of them
+        repo = tracker.Repository(spark, f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}")
+        done = F.when(F.col("o_orderstatus") == "F", "baseline_created").otherwise("running")
+        own = rows.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("id"), F.lit("archive_baseline").alias("run_type"), F.col("o_orderdate").alias("started_at"), done.alias("status"))
+        missing = [f for f in spark.createDataFrame([], tracker.RUNS).schema if f.name not in own.columns]
+        repo.replace("runs", own.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing]).select(*[f.name for f in spark.createDataFrame([], tracker.RUNS).schema]))
+        out.append((status, repo.has_baseline()))
+    return spark.createDataFrame(out, "status string, baseline boolean")
 
 
 @query(f"""with {ORDERS}, a as (select * from docs where year < '1998'), b as (select * from docs where year >= '1998'),
@@ -567,7 +574,7 @@ def crawl_capped(spark, sf_dir):
 @query(f"with recursive {EDGES}, r(node) as (select cast(1 as bigint) union select dst from r join e on r.node = e.src where node % 5 <> 0) select 'https://site.test/products/p' || node as url from r")
 def site_map(spark, sf_dir):
     pages, links = _site(spark, sf_dir)
-    return graph.map_site(pages, links, "https://site.test/products/p1")
+    return graph.map_site(pages, links, "https://site.test/products/p1", max_pages=None)
 
 
 # Fixtures of pages.
@@ -614,3 +621,7 @@ def event_windows(spark, sf_dir):
     return windows(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
+from . import cases  # noqa: E402
+
+QUERIES |= cases.QUERIES
+SQL |= cases.SQL | cases.FIXED

@@ -38,8 +38,10 @@ def lit(v) -> str:
 
 
 def values(rows: list[tuple], columns: str) -> str:
-    """SQL of literal rows; a cast as varchar for columns that are null in the first row is left to DuckDB."""
-    return "select * from (values " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") as t({columns})"
+    """SQL of literal rows; columns: names and types."""
+    names = [x.split()[0] for x in columns.split(", ")]
+    typed = ", ".join(f"cast({n} as {x.split()[1].replace('string', 'varchar')}) as {n}" for n, x in zip(names, columns.split(", "), strict=True))
+    return f"select {typed} from (values " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") as t({', '.join(names)})"
 
 
 def expect(columns: str, *rows: tuple) -> Callable[[Query], Query]:
@@ -64,7 +66,7 @@ def c(name: str) -> Column:
 
 
 @expect(
-    "id, government, portal, blocked, page, region, is_region, documents",
+    "id int, government boolean, portal boolean, blocked boolean, page boolean, region string, is_region boolean, documents boolean",
     (1, True, True, False, True, "bretagne", True, False),
     (2, True, True, False, True, "", False, False),
     (3, True, False, False, False, "", False, False),
@@ -112,7 +114,7 @@ LINK_TEXTS = [
 
 
 @expect(
-    "id, path_text, combined, context, dated, further",
+    "id int, path_text string, combined string, context boolean, dated boolean, further boolean",
     (1, "bretagne documents publications raa", "raa bretagne documents publications raa", True, False, False),
     (2, "bretagne draaf", "draaf bretagne draaf", False, False, False),
     (3, "recueil des actes administratifs r12", "recueil des actes administratifs r12", True, False, False),
@@ -128,7 +130,7 @@ def gazette_context(spark, sf_dir):
 
 
 @expect(
-    "id, same_region, year_fits, month_fits, both_fit",
+    "id int, same_region boolean, year_fits boolean, month_fits boolean, both_fit boolean",
     (1, True, True, True, True),
     (2, False, True, False, True),
     (3, False, False, True, False),
@@ -154,7 +156,7 @@ def _roots(rows: DataFrame) -> DataFrame:
 
 
 @expect(
-    "id, candidate, within, registers",
+    "id int, candidate boolean, within boolean, registers boolean",
     (1, True, False, True),
     (2, False, False, False),
     (3, False, False, False),
@@ -185,7 +187,7 @@ def gazette_trust(spark, sf_dir):
 
 
 @expect(
-    "id, follow",
+    "id int, follow boolean",
     (1, True),
     (2, False),
     (3, False),
@@ -223,20 +225,20 @@ def gazette_follow(spark, sf_dir):
     return rows.select("id", gazette.follows(c("url"), c("text"), c("slug"), c("branch"), c("source"), c("roots")).alias("follow"))
 
 
-@expect("id, rank", (1, 161), (2, 91), (3, 20), (4, 0), (5, 116))
+@expect("id int, rank int", (1, 161), (2, 91), (3, 20), (4, 0), (5, 116))
 def gazette_page_rank(spark, sf_dir):
     rows = table(spark, "id int, url string", (1, f"{RAA}/2026/avril"), (2, f"{AIN}/2026/(offset)/10"), (3, RAA), (4, f"{AIN}/x"), (5, f"{AIN}/annee-2026"))
     return rows.select("id", gazette.page_rank(c("url")).cast("int").alias("rank"))
 
 
-@expect("url, seq", (f"{RAA}/2026", 2), (f"{RAA}/2025", 0))
+@expect("url string, seq int", (f"{RAA}/2026", 2), (f"{RAA}/2025", 0))
 def gazette_pages_chosen(spark, sf_dir):
     """More pages than may be read: the most promising ones, each once."""
     rows = table(spark, "url string, seq int", (f"{RAA}/2025", 0), (RAA, 1), (f"{RAA}/2026", 2), (f"{RAA}/2026", 3))
     return gazette.pages_to_extract(rows, 2)
 
 
-@expect("id, made", (1, f"{R}/bretagne/Documents-publications {R}/bretagne/DOCUMENTS-PUBLICATIONS"), (2, ""))
+@expect("id int, made string", (1, f"{R}/bretagne/Documents-publications {R}/bretagne/DOCUMENTS-PUBLICATIONS"), (2, ""))
 def documents_candidates(spark, sf_dir):
     rows = table(spark, "id int, url string", (1, f"{R}/bretagne/?x=1#y"), (2, f"{R}/"))
     return rows.select("id", F.array_join(gazette.documents_candidates(c("url")), " ").alias("made"))
@@ -246,14 +248,14 @@ def _links(spark, *rows: tuple) -> DataFrame:
     return table(spark, "page_url string, pos int, url string, text string", *rows)
 
 
-@expect("pos, url", (0, f"{R}/bretagne"), (2, f"{R}/corse"))
+@expect("pos int, url string", (0, f"{R}/bretagne"), (2, f"{R}/corse"))
 def region_pages(spark, sf_dir):
     links = _links(spark, (f"{R}/", 0, f"{R}/bretagne", "Bretagne"), (f"{R}/", 1, f"{R}/contact", "Contact"), (f"{R}/", 2, f"{R}/corse", "Corse"), (f"{R}/", 3, f"{R}/a/b", "B"), (f"{R}/", 4, "https://o.fr/a", "A"), (f"{R}/x", 0, f"{R}/paca", "Paca"))
     return gazette.region_pages(links)
 
 
 @expect(
-    "region_url, documents_url",
+    "region_url string, documents_url string",
     (f"{R}/bretagne", f"{R}/bretagne/Documents-publications"),
     (f"{R}/corse", f"{R}/corse/Documents-publications"),
     (f"{R}/grand-est/documents-publications", f"{R}/grand-est/documents-publications"),
@@ -273,7 +275,7 @@ def documents_pages(spark, sf_dir):
     return gazette.documents_pages(regions, links)
 
 
-@expect("documents_url, pos, url", (f"{R}/bretagne/Documents-publications", 1, f"{R}/bretagne/Documents-publications/RAA"), (f"{R}/bretagne/Documents-publications", 3, f"{AIN}/recueil-des-actes-administratifs"))
+@expect("documents_url string, pos int, url string", (f"{R}/bretagne/Documents-publications", 1, f"{R}/bretagne/Documents-publications/RAA"), (f"{R}/bretagne/Documents-publications", 3, f"{AIN}/recueil-des-actes-administratifs"))
 def entry_pages(spark, sf_dir):
     at = f"{R}/bretagne/Documents-publications"
     links = _links(
@@ -291,7 +293,7 @@ def entry_pages(spark, sf_dir):
 
 
 @expect(
-    "kind, n, value",
+    "kind string, n int, value string",
     ("found", 0, RAA),
     ("found", 1, f"{RAA}/2026"),
     ("found", 2, f"{AIN}/recueil-des-actes-administratifs"),
@@ -323,7 +325,7 @@ def gazette_expand(spark, sf_dir):
 
 
 @expect(
-    "id, non_http, email",
+    "id int, non_http boolean, email boolean",
     (1, True, False),
     (2, True, False),
     (3, False, True),
@@ -339,26 +341,26 @@ def href_kinds(spark, sf_dir):
     return rows.select("id", u.is_non_http(c("href")).alias("non_http"), u.is_bare_email(c("href")).alias("email"))
 
 
-@expect("id, urls", (1, "a.png|b.png"), (2, "c.png"), (3, "d.png|/e.png"))
+@expect("id int, urls string", (1, "a.png|b.png"), (2, "c.png"), (3, "d.png|/e.png"))
 def srcset_urls(spark, sf_dir):
     rows = table(spark, "id int, srcset string", (1, "a.png 1x, b.png 2x"), (2, " c.png"), (3, "d.png   100w,/e.png"))
     return rows.select("id", F.array_join(u.srcset(c("srcset")), "|").alias("urls"))
 
 
-@expect("id, name", (1, "a b.pdf"), (2, "ré.pdf"), (3, None), (4, "x.txt"))
+@expect("id int, name string", (1, "a b.pdf"), (2, "ré.pdf"), (3, None), (4, "x.txt"))
 def header_filenames(spark, sf_dir):
     rows = table(spark, "id int, header string", (1, 'attachment; filename="a b.pdf"'), (2, "attachment; filename*=UTF-8''r%C3%A9.pdf"), (3, "inline"), (4, "FILENAME=x.txt; y=z"))
     return rows.select("id", u.header_filename(c("header")).alias("name"))
 
 
-@expect("id, name", (1, "r p.pdf"), (2, "document_2.bin"), (3, "name.pdf"), (4, "a_b"), (5, "document_5.pdf"))
+@expect("id int, name string", (1, "r p.pdf"), (2, "document_2.bin"), (3, "name.pdf"), (4, "a_b"), (5, "document_5.pdf"))
 def url_filenames(spark, sf_dir):
     rows = table(spark, "id int, url string, ext string", (1, "https://a.org/x/r%20p.pdf", ".bin"), (2, "https://a.org/", ".bin"), (3, "https://a.org/x/name", ".pdf"), (4, "https://a.org/a:b", ""), (5, "https://a.org", ".pdf"))
     return rows.select("id", u.filename(c("url"), c("id"), c("ext")).alias("name"))
 
 
 @expect(
-    "id, category, folder, dir, address",
+    "id int, category string, folder string, dir string, address string",
     (1, "documents", "0001_D1_Title", "downloads/pdfs/a.org/p_q", "https://a.org/p/q/r.pdf"),
     (2, "images", "0002_0002_b", "downloads/pdfs/a.org/root", "https://c.org/z"),
     (3, "images", "0003_x_y_a", "downloads/pdfs/unknown-domain/x_y", "x/y"),
@@ -377,7 +379,7 @@ def document_folders(spark, sf_dir):
     return rows.select("id", u.category_folder(c("url"), c("format"), F.coalesce(c("type"), F.lit(""))).alias("category"), u.folder_name(c("id"), c("document"), c("title"), c("file")).alias("folder"), u.download_dir(c("url")).alias("dir"), u.document_url(pdf, c("pdf_url")).alias("address"))
 
 
-@expect("id, params", (1, "products=b;search=q r"), (2, "document-types=z;sort=s"), (3, ""))
+@expect("id int, params string", (1, "products=b;search=q r"), (2, "document-types=z;sort=s"), (3, ""))
 def listing_params(spark, sf_dir):
     """Parameters under their names in the interface, the last value of each; blank ones count as missing."""
     rows = table(spark, "id int, url string", (1, "https://d.org/x?search=q%20r&products=a&products=b&languages="), (2, "https://d.org/x?sortingby=s&documenttypes=z&other=1"), (3, "https://d.org/x"))
@@ -386,7 +388,7 @@ def listing_params(spark, sf_dir):
 
 
 @expect(
-    "id, family, relevant",
+    "id int, family boolean, relevant boolean",
     (1, True, True),
     (2, False, False),
     (3, True, True),
@@ -425,7 +427,7 @@ HREFS = [
 
 
 @expect(
-    "kind, pos, url",
+    "kind string, pos int, url string",
     ("all", 0, "https://a.org/x/b.pdf"),
     ("all", 2, "https://a.org/C.PDF"),
     ("all", 3, "https://a.org/x/get?file=plan.docx"),
@@ -449,13 +451,13 @@ def collected_links(spark, sf_dir):
     return out
 
 
-@expect("pos, title, file_format, source, source_page", (0, "b c.pdf", "PDF", "html_or_image_link", "https://a.org/x"), (1, "get", "DOCX", "html_or_image_link", "https://a.org/x"))
+@expect("pos int, title string, file_format string, source string, source_page string", (0, "b c.pdf", "PDF", "html_or_image_link", "https://a.org/x"), (1, "get", "DOCX", "html_or_image_link", "https://a.org/x"))
 def document_rows(spark, sf_dir):
     links = table(spark, "page_id int, page_url string, pos int, url string", (1, "https://a.org/x", 0, "https://a.org/b%20c.pdf"), (1, "https://a.org/x", 1, "https://a.org/get?file=plan.docx"))
     return ln.document_rows(links).select("pos", "title", "file_format", "source", "source_page")
 
 
-@expect("strategy, pos, url", (0, 0, "https://a.org/a.pdf"), (1, 1, "https://a.org/c.png"), (2, 0, "https://a.org/d.zip"))
+@expect("strategy int, pos int, url string", (0, 0, "https://a.org/a.pdf"), (1, 1, "https://a.org/c.png"), (2, 0, "https://a.org/d.zip"))
 def link_strategies(spark, sf_dir):
     """Candidates of several strategies: earlier ones first, each address once, files only."""
     one = table(spark, "page_id int, page_url string, pos int, href string", (1, "https://a.org/", 0, "a.pdf"), (1, "https://a.org/", 1, "page"))
@@ -464,7 +466,7 @@ def link_strategies(spark, sf_dir):
     return ln.strategies(one, two, three).select("strategy", "pos", "url")
 
 
-@expect("part, value", ("start", "https://a.org/mri/x?q=1"), ("modality", "mri"), ("prefix", "/mri/x"), ("include", "*/mri/x*,*/mri/x/*,*mri*,*magnetic-resonance*,*magnetic-resonance-imaging*,*magnetom*,*products*,*own*"), ("exclude_first", "*cookie*"), ("exclude_last", "*Old*"), ("root", "/ - *products*"))
+@expect("part string, value string", ("start", "https://a.org/mri/x?q=1"), ("modality", "mri"), ("prefix", "/mri/x"), ("include", "*/mri/x*,*/mri/x/*,*mri*,*magnetic-resonance*,*magnetic-resonance-imaging*,*magnetom*,*products*,*own*"), ("exclude_first", "*cookie*"), ("exclude_last", "*Old*"), ("root", "/ - *products*"))
 def focus_plan(spark, sf_dir):
     """The constants of a focused crawl; blank patterns and those that differ in case only are left out."""
     p = ln.focus_plan("HTTPS://A.org/mri/x/?q=1#f", include=[" *own* ", "", "*PRODUCTS*"], exclude=["*Old*", "*OLD*"])
@@ -472,14 +474,14 @@ def focus_plan(spark, sf_dir):
     return table(spark, "part string, value string", ("start", p.start_url), ("modality", p.modality), ("prefix", p.prefix), ("include", ",".join(p.include)), ("exclude_first", p.exclude[0]), ("exclude_last", p.exclude[-1]), ("root", f"{q.prefix} {q.modality or '-'} {','.join(q.include)}"))
 
 
-@expect("url", ("https://a.org/mri/scanner",), ("https://a.org/mri",), ("https://a.org/x/ultrasound",))
+@expect("url string", ("https://a.org/mri/scanner",), ("https://a.org/mri",), ("https://a.org/x/ultrasound",))
 def focus_filter(spark, sf_dir):
     """Links of a focused crawl without noise and without what names no focus term and isn't below the start."""
     rows = table(spark, "url string, pos int", ("https://a.org/mri/", 0), ("https://a.org/mri/scanner", 1), ("https://a.org/mri/news", 2), ("https://a.org/x/ultrasound", 3), ("https://a.org/y", 4), ("https://A.org/MRI/scanner", 5), ("https://a.org/mri/SCANNER", 6), ("", 7))
     return ln.rank_focused(rows, "https://a.org/mri", filtered=True).select("url")
 
 
-@expect("id, allowed", (1, True), (2, False), (3, True), (5, True))
+@expect("id int, allowed boolean", (1, True), (2, False), (3, True), (5, True))
 def robots_rules(spark, sf_dir):
     """Addresses that a site's robots file lets any agent read; sites without one allow all. Refused ones with a null verdict are left out."""
     rows = table(spark, "id int, url string", (1, "https://a.org/x"), (2, "https://a.org/private/x"), (3, "https://b.org/private"), (5, "https://c.org/"))
@@ -489,7 +491,7 @@ def robots_rules(spark, sf_dir):
 
 
 @expect(
-    "id, candidates",
+    "id int, candidates string",
     (1, "https://www.siemens-healthineers.com/us/mri https://www.siemens-healthineers.com/en/mri https://www.siemens-healthineers.com/global/mri https://www.siemens-healthineers.com/"),
     (2, "https://example.org/en-us/a https://example.org/us/a https://example.org/global/a https://example.org/ https://example.org/en/products"),
     (3, "https://x.org/"),
@@ -505,7 +507,7 @@ def retry_pages(spark, sf_dir):
 
 
 @expect(
-    "id, published, year, month",
+    "id int, published string, year string, month string",
     (1, "2026-04-29", "2026", ""),
     (2, "2026-01-07", "2026", ""),
     (3, "2026-01-02", None, ""),
@@ -541,13 +543,13 @@ def date_texts(spark, sf_dir):
     return rows.select("id", d.publication_date(x).cast("string").alias("published"), d.year_in(x).alias("year"), d.month_in(x).alias("month"))
 
 
-@expect("id, published, source", (1, "2026-01-07", "link_text"), (2, "2026-04-29", "filename"), (3, "", "unknown"))
+@expect("id int, published string, source string", (1, "2026-01-07", "link_text"), (2, "2026-04-29", "filename"), (3, "", "unknown"))
 def date_sources(spark, sf_dir):
     rows = table(spark, "id int, link string, file string", (1, "07.01.2026", "20260429.pdf"), (2, "x", "20260429.pdf"), (3, None, ""))
     return rows.select("id", d.date_with_source(("link_text", c("link")), ("filename", c("file"))).alias("f")).select("id", F.col("f.publication_date").alias("published"), F.col("f.date_source").alias("source"))
 
 
-@expect("id, inside, unlimited", (1, True, True), (2, True, True), (3, False, True), (4, False, True), (5, False, True))
+@expect("id int, inside boolean, unlimited boolean", (1, True, True), (2, True, True), (3, False, True), (4, False, True), (5, False, True))
 def date_window(spark, sf_dir):
     """A window of three days ends today and has both bounds; without a number of days everything fits."""
     rows = table(spark, "id int, day string", (1, "2026-04-30"), (2, "2026-04-28"), (3, "2026-04-27"), (4, ""), (5, "2026-05-01"))
@@ -558,7 +560,7 @@ def date_window(spark, sf_dir):
 
 
 @expect(
-    "id, low, cookies, hints",
+    "id int, low boolean, cookies int, hints int",
     (1, True, 0, 0),
     (2, True, 3, 0),
     (3, False, 1, 2),
@@ -574,7 +576,7 @@ def markdown_quality(spark, sf_dir):
 
 
 @expect(
-    "id, quality, reasons, ratio",
+    "id int, quality string, reasons string, ratio double",
     (1, "good", "", 0.0),
     (2, "bad_source_page", "login_wall", 0.0),
     (3, "low_confidence", "mostly_noise_links", 0.6),
@@ -596,7 +598,7 @@ def page_quality(spark, sf_dir):
 
 
 @expect(
-    "id, line, separator, dropped, cookieish",
+    "id int, line string, separator boolean, dropped boolean, cookieish boolean",
     (1, "a b c", False, False, False),
     (2, "x | y", False, False, False),
     (3, "|---|:---:|", True, False, False),
@@ -614,7 +616,7 @@ def page_lines(spark, sf_dir):
 
 
 @expect(
-    "id, noise, useful, junk, menu",
+    "id int, noise int, useful int, junk boolean, menu boolean",
     (1, 0, 3, False, False),
     (2, 2, 0, False, False),
     (3, 0, 0, True, False),
@@ -649,7 +651,7 @@ PAGES = [
 
 
 @expect(
-    "id, page_type, score, kept, dropped, clean_text, reasons",
+    "id int, page_type string, score int, kept int, dropped int, clean_text string, reasons string",
     (1, "product_detail", 8, 1, 2, "Magnetom scanner with a 3 Tesla field for routine imaging.", "duplicate_block,medical_terms,navigation_block,thin_block,title_family"),
     (2, "fallback_noise", 0, 0, 2, "", "fallback_page,thin_block"),
     (3, "legal_noise", 0, 0, 1, "", "medical_terms,noise_url"),
@@ -662,7 +664,7 @@ def page_pipeline(spark, sf_dir):
     return got.select("id", "page_type", F.col("relevance_score").alias("score"), F.col("useful_block_count").alias("kept"), F.col("dropped_block_count").alias("dropped"), "clean_text", F.array_join("dropped_reasons", ",").alias("reasons"))
 
 
-@expect("id, modality, family, candidate", (1, "mri", "magnetom", True), (2, "pet_mr", "biograph", True), (3, "unknown", "", False), (4, "unknown", "", True), (5, "unknown", "", True), (6, "unknown", "", True))
+@expect("id int, modality string, family string, candidate boolean", (1, "mri", "magnetom", True), (2, "pet_mr", "biograph", True), (3, "unknown", "", False), (4, "unknown", "", True), (5, "unknown", "", True), (6, "unknown", "", True))
 def product_signs(spark, sf_dir):
     rows = table(spark, "id int, kind string, heading string, text string, links array<string>", (1, "text", "", "Magnetom MRI", []), (2, "heading", "Biograph PET/MR", "", []), (3, "text", "", "plain words", []), (4, "card", "", "plain words", []), (5, "section", "Heading", "plain", []), (6, "text", "", "weight 450 kg", []))
     both = F.concat_ws("\n", "heading", "text")
@@ -670,7 +672,7 @@ def product_signs(spark, sf_dir):
     return rows.select("id", pet.alias("modality"), entities.family(both).alias("family"), entities.is_candidate(c("kind"), c("heading"), c("text"), c("links")).alias("candidate"))
 
 
-@expect("id, pos, block, kind, heading, words, links", (1, 0, "card_0", "card", "Magnetom One", "Magnetom One\nA 3 T system.\nWeight 450 kg", "/x"), (1, 1, "section_1", "section", "magnetom one", "magnetom one\nUptake time: 60 min", ""), (2, 0, "table_0", "table", "Spec", "Spec\nField | Bore\nField | Bore\n3 T | 70 cm", ""), (2, 1, "text_1", "text", "", "Loose text about nothing", ""))
+@expect("id bigint, pos int, block string, kind string, heading string, words string, links string", (1, 0, "card_0", "card", "Magnetom One", "Magnetom One\nA 3 T system.\nWeight 450 kg", "/x"), (1, 1, "section_1", "section", "magnetom one", "magnetom one\nUptake time: 60 min", ""), (2, 0, "table_0", "table", "Spec", "Spec\nField | Bore\nField | Bore\n3 T | 70 cm", ""), (2, 1, "text_1", "text", "", "Loose text about nothing", ""))
 def block_sheet(spark, sf_dir):
     """Structured blocks as rows of a sheet: cards with links, sections, tables, loose text; notices are left out."""
     from ..operators import reports
@@ -692,7 +694,7 @@ def _repository(spark: SparkSession) -> tracker.Repository:
 
 
 @expect(
-    "id, run_type, status, months, found, fresh, downloaded, failed, error, seconds, finished, baseline",
+    "id bigint, run_type string, status string, months string, found int, fresh int, downloaded int, failed int, error string, seconds double, finished boolean, baseline boolean",
     (1, "archive_baseline", "baseline_created", "archive-all", 3, 0, 0, 0, "", 1.5, True, True),
     (2, "daily_diff", "completed", "April 2026", 5, 2, 1, 1, "", 2.25, True, True),
     (3, "daily_diff", "running", "May 2026", 0, 0, 0, 0, None, 0.0, False, True),
@@ -729,7 +731,7 @@ def _inventory(spark) -> tracker.Repository:
 
 
 @expect(
-    "id, normalized_url, region, year, title, published, date_source, source_page, first_run, last_run, first_day, last_day",
+    "id bigint, normalized_url string, region string, year string, title string, published string, date_source string, source_page string, first_run bigint, last_run bigint, first_day string, last_day string",
     (1, "https://a.org/1", "bretagne", "2026", "new title", "2026-04-29", "filename", "https://a.org/q", 1, 2, "2026-01-01", "2026-01-02"),
     (2, "https://a.org/2", "paca", "2025", "t2", "2025-01-02", "link_text", "https://a.org/p", 1, 1, "2026-01-01", "2026-01-01"),
     (3, "https://a.org/3", "paca", "2026", "t3", None, "", "https://a.org/q", 2, 2, "2026-01-02", "2026-01-02"),
@@ -741,12 +743,12 @@ def inventory_rows(spark, sf_dir):
     return rows.select("id", "normalized_url", "region", "year", "title", F.col("publication_date").cast("string").alias("published"), F.coalesce("date_source", F.lit("")).alias("date_source"), "source_page", F.col("first_run_id").alias("first_run"), F.col("last_run_id").alias("last_run"), day("first_seen_at").alias("first_day"), day("last_seen_at").alias("last_day"))
 
 
-@expect("url, region, month, title", ("https://a.org/3", "paca", "May", "t3"))
+@expect("url string, region string, month string, title string", ("https://a.org/3", "paca", "May", "t3"))
 def new_of_run(spark, sf_dir):
     return _inventory(spark).new_documents(2).select("url", "region", "month", "title")
 
 
-@expect("id, run_id, document_id, status, saved_path, error", (1, 2, 3, "downloaded", "/d/3.pdf", ""), (2, 2, None, "failed: timeout", "", "failed: timeout"), (3, 2, 1, "skipped", "", ""))
+@expect("id bigint, run_id bigint, document_id bigint, status string, saved_path string, error string", (1, 2, 3, "downloaded", "/d/3.pdf", ""), (2, 2, None, "failed: timeout", "", "failed: timeout"), (3, 2, 1, "skipped", "", ""))
 def download_log(spark, sf_dir):
     """A row for each download beside its document, found in the inventory by its normalised address."""
     repo = _inventory(spark)
@@ -756,7 +758,7 @@ def download_log(spark, sf_dir):
     return repo.downloads().select("id", "run_id", "document_id", "status", "saved_path", "error")
 
 
-@expect("step, run_id, status, found, known, fresh, downloaded, failed", ("first", 1, "baseline_created", 2, 0, 0, None, None), ("second", 2, "completed", 2, 1, 1, None, None), ("download", 2, None, None, None, None, 0, 1))
+@expect("step string, run_id int, status string, found int, known int, fresh int, downloaded int, failed int", ("first", 1, "baseline_created", 2, 0, 0, None, None), ("second", 2, "completed", 2, 1, 1, None, None), ("download", 2, None, None, None, None, 0, 1))
 def daily_diff(spark, sf_dir):
     """Without a baseline a daily check makes one; the next one finds what is new, which is then downloaded."""
     repo, today = _repository(spark), date(2026, 4, 30)
@@ -772,7 +774,7 @@ def daily_diff(spark, sf_dir):
     return table(spark, "step string, run_id int, status string, found int, known int, fresh int, downloaded int, failed int", *rows)
 
 
-@expect("region, selected, downloaded, failed", ("paca", 2, 1, 1), ("unknown-region", 2, 1, 0))
+@expect("region string, selected bigint, downloaded bigint, failed bigint", ("paca", 2, 1, 1), ("unknown-region", 2, 1, 0))
 def downloads_by_region(spark, sf_dir):
     from ..operators import reports
 
@@ -781,7 +783,7 @@ def downloads_by_region(spark, sf_dir):
     return reports.downloads_by_region(chosen, done)
 
 
-@expect("blocked", (2,))
+@expect("blocked bigint", (2,))
 def blocked_downloads(spark, sf_dir):
     from ..operators import reports
 
@@ -789,14 +791,14 @@ def blocked_downloads(spark, sf_dir):
     return reports.blocked_downloads(table(spark, "status string", (message,), ("downloaded",), ("failed: x",), (message,), (None,)))
 
 
-@expect("documents_pages_resolved, raa_entry_count", (2, 3))
+@expect("documents_pages_resolved bigint, raa_entry_count bigint", (2, 3))
 def region_totals(spark, sf_dir):
     from ..operators import reports
 
     return reports.region_totals(table(spark, "region string, documents_url string, entries array<string>", ("a", "u", ["x", "y"]), ("b", "", []), ("c", None, ["z"]), ("d", "v", [])))
 
 
-@expect("total_pages, total_chars, total_clean_chars", (4, 262, 58))
+@expect("total_pages bigint, total_chars bigint, total_clean_chars bigint", (4, 262, 58))
 def crawl_report(spark, sf_dir):
     from ..operators import reports
 
@@ -822,34 +824,34 @@ def _hops(links: DataFrame) -> DataFrame:
     return ln.absolute(links).select(F.col("page_url").alias("src"), "pos", F.col("url").alias("dst"))
 
 
-@expect("seq, url, depth", (0, f"{SITE}/", 0), (1, f"{SITE}/documents", 1), (2, f"{SITE}/documents/more", 2))
+@expect("seq int, url string, depth int", (0, f"{SITE}/", 0), (1, f"{SITE}/documents", 1), (2, f"{SITE}/documents/more", 2))
 def crawl_patterns(spark, sf_dir):
     """A crawl along include and exclude patterns: the hinted links first, failed pages and other hosts left out."""
     pages, links = _site(spark)
     return graph.crawl(pages, _hops(links), f"{SITE}/", max_depth=2, max_pages=10, include=["*document*", "*files*"], exclude=["*.pdf", "*.png", "*.docx"])
 
 
-@expect("seq, url, depth", (0, f"{SITE}/", 0), (1, f"{SITE}/products/a", 1))
+@expect("seq int, url string, depth int", (0, f"{SITE}/", 0), (1, f"{SITE}/products/a", 1))
 def crawl_cap(spark, sf_dir):
     """The number of pages is a hard limit, also within a level."""
     pages, links = _site(spark)
     return graph.crawl(pages, _hops(links), f"{SITE}/", max_depth=3, max_pages=2, include=["*/products/*", "*documents*"])
 
 
-@expect("url", *[(f"{SITE}{p}",) for p in ("/", "/brochure.pdf", "/d/1.pdf", "/documents", "/documents/more", "/files/x", "/login", "/products/a", "/d/2.PNG", "/d/2.docx")])
+@expect("url string", *[(f"{SITE}{p}",) for p in ("/", "/brochure.pdf", "/d/1.pdf", "/documents", "/documents/more", "/files/x", "/login", "/products/a", "/d/2.PNG", "/d/2.docx")])
 def site_addresses(spark, sf_dir):
     pages, links = _site(spark)
     return graph.map_site(pages, _hops(links), f"{SITE}/")
 
 
-@expect("url", *[(f"{SITE}{p}",) for p in ("/", "/brochure.pdf", "/documents", "/files/x", "/login", "/products/a")])
+@expect("url string", *[(f"{SITE}{p}",) for p in ("/", "/brochure.pdf", "/documents", "/files/x", "/login", "/products/a")])
 def site_addresses_capped(spark, sf_dir):
     """Pages are read while fewer than four addresses are known: the start alone."""
     pages, links = _site(spark)
     return graph.map_site(pages, _hops(links), f"{SITE}/", max_pages=4)
 
 
-@expect("kind, url, title, detail, n", ("document", f"{SITE}/brochure.pdf", "brochure.pdf", "PDF", None), ("document", f"{SITE}/d/1.pdf", "1.pdf", "PDF", None), ("document", f"{SITE}/d/2.PNG", "2.PNG", "PNG", None), ("document", f"{SITE}/d/2.docx", "2.docx", "DOCX", None), ("page", f"{SITE}/", "Start", "1", 1), ("page", f"{SITE}/documents", "Documents", "2", 2), ("page", f"{SITE}/documents/more", "More", "2", 0), ("page", f"{SITE}/products/a", "A", "0", 0))
+@expect("kind string, url string, title string, detail string, n bigint", ("document", f"{SITE}/brochure.pdf", "brochure.pdf", "PDF", None), ("document", f"{SITE}/d/1.pdf", "1.pdf", "PDF", None), ("document", f"{SITE}/d/2.PNG", "2.PNG", "PNG", None), ("document", f"{SITE}/d/2.docx", "2.docx", "DOCX", None), ("page", f"{SITE}/", "Start", "1", 1), ("page", f"{SITE}/documents", "Documents", "2", 2), ("page", f"{SITE}/documents/more", "More", "2", 0), ("page", f"{SITE}/products/a", "A", "0", 0))
 def file_discovery(spark, sf_dir):
     """A crawl that looks for files: each address once, and how many each scanned page gave."""
     from ..operators import reports
@@ -863,7 +865,7 @@ def file_discovery(spark, sf_dir):
 # Listings.
 
 
-@expect("id, n, first", (1, 4, "https://d.org/rest/v1/documents?products=b&sort=-modified-at&page=1&pagesize=40"), (2, 1, "https://d.org/rest/v1/documents?sort=x&page=1&pagesize=40"), (3, 0, None))
+@expect("id int, n int, first string", (1, 4, "https://d.org/rest/v1/documents?products=b&sort=-modified-at&page=1&pagesize=40"), (2, 1, "https://d.org/rest/v1/documents?sort=x&page=1&pagesize=40"), (3, 0, None))
 def listing_requests(spark, sf_dir):
     """The requests of a listing's pages, by their number of records; newest first, unless the address says otherwise."""
     rows = table(spark, "id int, url string", (1, "https://d.org/documents?products=b"), (2, "https://d.org/documents?sortingby=x"), (3, "https://d.org/documents"))
@@ -871,7 +873,7 @@ def listing_requests(spark, sf_dir):
     return rows.select("id", F.size(own).alias("n"), F.get(own, F.lit(0)).alias("first"))
 
 
-@expect("listing, scanned, documents, skipped, pdfs", ("https://docs.example.org/documents?products=a", 45, 40, 5, 34))
+@expect("listing string, scanned bigint, documents bigint, skipped bigint, pdfs bigint", ("https://docs.example.org/documents?products=a", 45, 40, 5, 34))
 def listing_totals(spark, sf_dir):
     from .fixtures import LISTINGS
 
@@ -879,7 +881,7 @@ def listing_totals(spark, sf_dir):
     return got.select("listing", F.col("records_scanned").alias("scanned"), F.col("documents_discovered").alias("documents"), F.col("skipped_or_deduplicated_documents").alias("skipped"), "pdfs")
 
 
-@expect("page_id, pos, url", (1, 0, "https://a.org/js/preloadDumps/x.js"), (1, 1, "https://b.org/preloadDumps.js"))
+@expect("page_id int, pos int, url string", (1, 0, "https://a.org/js/preloadDumps/x.js"), (1, 1, "https://b.org/preloadDumps.js"))
 def dump_scripts(spark, sf_dir):
     rows = table(spark, "page_id int, url string, html string", (1, "https://a.org/p/", "<script src=' /js/preloadDumps/x.js '></script><script src='//b.org/preloadDumps.js'></script><script src='/js/preloadDumps/x.js'></script><script src='/other.js'></script>"))
     return listing.dump_scripts(rows).select("page_id", F.row_number().over(od.Window.partitionBy("page_id").orderBy("pos")).alias("pos"), "url").withColumn("pos", F.col("pos") - 1)
@@ -899,11 +901,11 @@ def _listed() -> list[tuple]:
 _S = "https://www.siemens-healthineers.com"
 _D = "https://diagnostics.roche.com"
 FIXED: dict[str, str] = {
-    "listing_documents": values(_listed(), "listing, seq, id, title, file_format, url, state"),
-    "dump_downloads": values([(1, 0, "https://marketing.webassets.siemens-healthineers.com/abc/Spec.PDF")], "page_id, pos, url"),
+    "listing_documents": values(_listed(), "listing string, seq bigint, id string, title string, file_format string, url string, state string"),
+    "dump_downloads": values([(1, 0, "https://marketing.webassets.siemens-healthineers.com/abc/Spec.PDF")], "page_id bigint, pos int, url string"),
     "download_plan": values(
         [(0, "downloads/documents", "report.PDF"), (1, "downloads/documents", "get.docx"), (2, "downloads/images", "pic.jpeg"), (3, "downloads/documents", "none.csv"), (4, "downloads/documents", "pdf.bin"), (5, "downloads/documents", "report_1.PDF"), (6, "downloads/documents", "document_7.bin")],
-        "seq, folder, filename",
+        "seq bigint, folder string, filename string",
     ),
     "canonical_and_retry": values(
         [
@@ -915,7 +917,7 @@ FIXED: dict[str, str] = {
             (6, "https://example.org/en/a#top", "https://example.org/en-us/a https://example.org/us/a https://example.org/global/a https://example.org/"),
             (7, f"{_D}/us/en.html", f"{_D}/en-us/en.html {_D}/en/en.html {_D}/global/en.html {_D}/"),
         ],
-        "id, canonical, retry",
+        "id int, canonical string, retry string",
     ),
     "structured_blocks": values(
         [
@@ -924,7 +926,7 @@ FIXED: dict[str, str] = {
             (2, 0, "table_0", "table", "Spec", "Spec\nField | Bore\nField | Bore\n3 T | 70 cm"),
             (2, 1, "text_1", "text", "", "Loose text about nothing"),
         ],
-        "page_id, pos, block_id, block_type, heading, text",
+        "page_id bigint, pos int, block_id string, block_type string, heading string, text string",
     ),
     "product_records": values(
         [
@@ -932,7 +934,7 @@ FIXED: dict[str, str] = {
             (2, "Table", "unknown", "", "Spec\nField | Bore\nField | Bore\n3 T | 70 cm\n\nLoose text about nothing", "field_strength: 3 T", "field_strength=3 T", "page_root", "https://a.org/t"),
             (4, "Empty page", "unknown", "", "", "", "", "page_root", "https://a.org/e"),
         ],
-        "page_id, product_name, modality, product_family, summary, technical_specs, clinical_parameters, evidence_block_ids, source_url",
+        "page_id bigint, product_name string, modality string, product_family string, summary string, technical_specs string, clinical_parameters string, evidence_block_ids string, source_url string",
     ),
     "gazette_links": values(
         [
@@ -945,7 +947,7 @@ FIXED: dict[str, str] = {
             (7, True, True, False, False, "bretagne", 20, True),
             (8, False, False, False, False, "contact", 0, False),
         ],
-        "id, page, context, dated, further, region, rank, documents",
+        "id int, page boolean, context boolean, dated boolean, further boolean, region string, rank int, documents boolean",
     ),
     "gazette_discovery": values(
         [
@@ -954,6 +956,6 @@ FIXED: dict[str, str] = {
             (f"{R}/content/raa-fev.pdf", "raa-fev.pdf", "bretagne", "2026", "February", "", "unknown", False, 0),
             (f"{R}/content/raa_2019.pdf", "raa_2019.pdf", "bretagne", "2019", "", "", "unknown", False, 0),
         ],
-        "url, title, region, year, month, publication_date, date_source, is_within_date_window, n_same",
+        "url string, title string, region string, year string, month string, publication_date string, date_source string, is_within_date_window boolean, n_same bigint",
     ),
 }

@@ -15,9 +15,11 @@ TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all tasks run in this machine, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docharbor-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,10 +33,10 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
 class Written:
     """A DataFrame cut from its lineage: a Parquet table in the shared folder, which outlives lost executors."""
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, **options):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, **options)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -56,16 +58,32 @@ def crc_mod(key, n: int):
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
 
 
+#: Shares of a group that are ranked apart before the group is.
+SALTS = 16
+
+
+def first_of_groups(rows: DataFrame, group: str, n: int, *order: str) -> DataFrame:
+    """The first n rows of each group by order, all if there are fewer. A group is ranked in SALTS shares, then over what these leave."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    for part in ([group, "_salt"], [group]):
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+        salted = salted.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    return salted.drop("_salt")
+
+
 def smallest_hashes(rows: DataFrame, group: str, n: int) -> DataFrame:
-    """Of rows (id, h, group) the n of each group with the smallest hashes h, pmod a million, and ids; in rare cases a few less.
+    """Of rows (group, h, more) exactly the n of each group with the smallest hashes h as unsigned numbers, all if there are fewer; which of equal hashes is open.
 
-    Only some 2 n rows of a group are ranked: those below a bound that follows from the group's size. So no task ranks a whole group.
+    The hashes of a group are counted in 4,096 ranges of their first bits; only rows up to the range that holds the n-th are dealt by group
+    and ranked. So a group's size doesn't matter; equal rows, which share a range, are cut to n by each task that reads them.
     """
-    million = 1_000_000
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    near = rows.withColumn("_m", F.pmod("h", F.lit(million))).join(sizes, group).where(F.col("_m") < F.ceil(million * (2.0 * n + 20) / F.col("_size")))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("_m", "id"))
-    return near.withColumn("_r", rank).where(F.col("_r") <= n).drop("_m", "_r", "_size")
+    rows = rows.withColumn("_range", F.shiftrightunsigned("h", 52))
+    sizes = rows.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_range"))
+    most = sizes.withColumn("_upto", upto).groupBy(group).agg(F.coalesce(F.min(F.when(F.col("_upto") >= n, F.col("_range"))), F.lit(4095)).alias("_most"))
+    most = Written(most, "ranges").df  # a row a group: sent to all tasks if it is small
+    near = rows.join(most, group).where(F.col("_range") <= F.col("_most")).drop("_most")
+    return first_of_groups(near, group, n, "_range", "h").drop("_range")
 
 
 def release() -> None:

@@ -1,6 +1,6 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The vocabulary is fixed and public (the pieces of a SentencePiece model). Each language has a probability for every piece; the likelihood of a
+The vocabulary is fixed and public (the pieces of a SentencePiece model that hold letters, of any length). Each language has a probability for every piece; the likelihood of a
 word is the sum over all ways to cut it into pieces, by a forward pass over its characters. Probabilities are
 fitted by expectation maximisation (forward and backward passes) on the words of a bounded sample of labelled documents. All
 distinct words of a batch go through the passes together, and workers remember words from batch to batch.
@@ -16,16 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, smallest_hashes
+from .common import first_of_groups, release, small_batches, smallest_hashes
 from .sp_codec import MARK, NORMAL, parse
 
 #: Letters only, lower-cased; a word begins with the marker, as pieces do.
 WORD = re.compile(r"[^\W\d_]+")
-#: Documents of each language, and distinct words of all, that the fit takes at the most.
-SAMPLE_DOCS, SAMPLE_WORDS = 1500, 40_000
+#: Documents and distinct words of each language that the fit takes at the most.
+SAMPLE_DOCS, SAMPLE_WORDS = 1500, 10_000
 ROUNDS = 3
-#: Longest piece in characters, marker included.
-LONGEST = 8
 REMEMBER = 150_000
 #: The probability of a character outside the vocabulary, and what is added to each expected count.
 UNKNOWN, SMOOTH = 1e-6, 0.05
@@ -44,6 +42,7 @@ class Lattice:
                     edges[nodes[p[: i - 1]] << 21 | ord(p[i - 1])] = nodes[p[:i]]
             ends[nodes[p]] = n
         self.n = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         self.keys = np.array(sorted(edges), np.int64)
         self.to = np.array([edges[int(k)] for k in self.keys], np.int64)
         self.ends = np.array(ends, np.int64)
@@ -104,19 +103,15 @@ class LanguageModel:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(langs)))
 
-    def _pass(self, n: int, top: int, start, row, length, piece, ends):
-        """Forward sums and their log scales: a[r, i] * exp(s[r, i]) is the probability of the first i characters."""
+    def _pass(self, n: int, top: int, start, row, length, piece):
+        """Forward sums and their log scales: a[r, i, l] * exp(s[r, i, l]) is the probability of the first i characters in language l."""
         a = np.zeros((n, top + 1, self.p.shape[1]))
         a[:, 0] = 1
-        scale = np.zeros((n, top + 1))
-        now = np.zeros(n)
+        scale = np.zeros_like(a)
+        now = np.zeros((n, self.p.shape[1]))
         bounds = np.searchsorted(start, np.arange(top + 1))
         for i in range(top + 1):
-            small = a[:, i].max(axis=1)
-            low = np.nonzero((small < 1 / BIG) & (small > 0))[0]
-            if len(low):
-                a[low, i : i + LONGEST + 1] *= BIG
-                now[low] -= np.log(BIG)
+            self._rescale(a, now, i, i, i + self.lattice.longest + 1)
             scale[:, i] = now
             if i < top:
                 at = slice(bounds[i], bounds[i + 1])
@@ -127,38 +122,50 @@ class LanguageModel:
                     a[r[own], to[own]] += a[r[own], i] * self.p[piece[at][own]]
         return a, scale
 
+    @staticmethod
+    def _rescale(x: np.ndarray, now: np.ndarray, i: int, lo: int, hi: int) -> None:
+        """Sums that are small at place i are made larger at the places from lo to hi, and their log scale smaller."""
+        low = (x[:, i] < 1 / BIG) & (x[:, i] > 0)
+        rows = np.nonzero(low.any(axis=1))[0]
+        if len(rows):
+            x[rows, lo:hi] *= np.where(low[rows], BIG, 1.0)[:, None]
+            now[rows] -= np.log(BIG) * low[rows]
+
     def log_likelihood(self, words: list[str]) -> np.ndarray:
         """log P(word | language) for each word and language, all segmentations summed."""
         out = np.zeros((len(words), len(self.langs)))
         for at in blocks(words):
             own = [words[i] for i in at]
             sizes, start, row, length, piece = self.lattice.arcs(own)
-            a, scale = self._pass(len(own), int(sizes.max()), start, row, length, piece, sizes)
+            a, scale = self._pass(len(own), int(sizes.max()), start, row, length, piece)
             rows = np.arange(len(own))
-            out[at] = np.log(np.maximum(a[rows, sizes], 1e-300)) + scale[rows, sizes][:, None]
+            out[at] = np.log(np.maximum(a[rows, sizes], 1e-300)) + scale[rows, sizes]
         return out
 
     def expected(self, words: list[str], weight: np.ndarray) -> np.ndarray:
         """Expected counts of pieces, by forward and backward passes. weight: counts of each word in each language."""
         out = np.zeros_like(self.p)
         for at in blocks(words):
-            own = [words[i] for i in at if len(words[i]) <= 40]  # far within the range of doubles
-            w = weight[[i for i in at if len(words[i]) <= 40]]
-            if not own:
-                continue
+            own, w = [words[i] for i in at], weight[at]
             sizes, start, row, length, piece = self.lattice.arcs(own)
             n, top = len(own), int(sizes.max())
-            a, _ = self._pass(n, top, start, row, length, piece, sizes)
+            a, ahead = self._pass(n, top, start, row, length, piece)
+            end = start + length
+            order = np.argsort(end, kind="stable")
+            start, row, piece, end = start[order], row[order], piece[order], end[order]
+            bounds = np.searchsorted(end, np.arange(top + 2))
             b = np.zeros_like(a)
             b[np.arange(n), sizes] = 1
-            bounds = np.searchsorted(start, np.arange(top + 1))
-            total = np.maximum(a[np.arange(n), sizes], 1e-300)
-            for i in range(top - 1, -1, -1):
+            now = np.zeros((n, self.p.shape[1]))
+            total, whole = np.maximum(a[np.arange(n), sizes], 1e-300), ahead[np.arange(n), sizes]
+            for i in range(top, 0, -1):
+                self._rescale(b, now, i, max(0, i - self.lattice.longest), i + 1)
                 s = slice(bounds[i], bounds[i + 1])
-                r, pc = row[s], piece[s]
-                right = self.p[pc] * b[r, i + length[s]]
-                np.add.at(b, (r, i), right)
-                np.add.at(out, pc, a[r, i] * right / total[r] * w[r])
+                r, pc, at_start = row[s], piece[s], start[s]
+                right = self.p[pc] * b[r, i]
+                scale = np.exp(ahead[r, at_start] + now[r] - whole[r])
+                np.add.at(out, pc, a[r, at_start] / total[r] * scale * right * w[r])
+                np.add.at(b, (r, at_start), right)
         return out
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -187,38 +194,37 @@ class LanguageModel:
 
 
 def vocabulary(model: str) -> list[str]:
-    """Letter pieces of a SentencePiece model, lower-cased, without repeats, in the model's order."""
+    """The pieces of a SentencePiece model that words can hold, lower-cased, without repeats, in the model's order."""
     found = (p.lower() for p, _, kind in parse(model).pieces if kind == NORMAL)
-    return list(dict.fromkeys(p for p in found if len(p) <= LONGEST and p != MARK and p.removeprefix(MARK).isalpha()))
+    return list(dict.fromkeys(p for p in found if p == MARK or WORD.fullmatch(p.removeprefix(MARK))))
 
 
 def fit(labelled: DataFrame, model: str, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> LanguageModel:
     """Learns from the rows of labelled whose language isn't null.
 
-    The sample is bounded: of each language the documents with the smallest hashes of their ids, and of their
-    whole texts the most frequent words. Languages are equally likely beforehand. No labelled rows: a model that says und.
+    The sample is bounded: of each language the documents with the smallest hashes of id and text, and of their
+    whole texts its most frequent words, so that rare languages are learnt as well. Languages are equally likely beforehand. Rows
+    that repeat count as often as they occur. No labelled rows: a model that says und.
     """
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text"))
-    ids = smallest_hashes(rows.select("id", "lang", "h"), "lang", docs).select("id", "lang")
-    own = rows.drop("h").join(F.broadcast(ids.distinct()), ["id", "lang"], "left_semi").select("lang", "text")  # docs rows a language at the most
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
+    own = smallest_hashes(rows, "lang", docs).select("lang", "text")
 
     def run(batches):
         for b in batches:
             count: Counter = Counter()
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 count.update((name, w) for w in WORD.findall(t.lower()))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.string()), pa.array([-n for n in count.values()], pa.int64())], names=["lang", "word", "n"])
         release()
 
     counts = own.mapInArrow(run, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang", "word").limit(words).collect()  # bounded by words
-    langs = sorted({r.lang for r in top})
-    vocab = sorted({r.word for r in top})
+    top = sorted((r.lang, r.word, -r.n) for r in first_of_groups(counts, "lang", words, "n", "word").collect())  # bounded by words, a language
+    langs, vocab = sorted({name for name, _, _ in top}), sorted({w for _, w, _ in top})
     weight = np.zeros((len(vocab), len(langs)))
-    at = {w: i for i, w in enumerate(vocab)}
-    for r in top:
-        weight[at[r.word], langs.index(r.lang)] += r.n
+    place, column = {w: i for i, w in enumerate(vocab)}, {name: i for i, name in enumerate(langs)}
+    for name, w, n in top:
+        weight[place[w], column[name]] += n
     lattice = Lattice(vocabulary(model))
     p = np.full((lattice.n + 1, len(langs)), 1.0 / max(1, lattice.n))
     m = LanguageModel(lattice, langs, p, np.zeros(len(langs)))

@@ -220,12 +220,12 @@ def train(texts: list[bytes], good: np.ndarray) -> Chain:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", n: int = SAMPLE_DOCS) -> Chain:
-    """Learns from the labels (key, label) of 0 or 1; of each class the documents with the smallest hashes of their ids, n at the most.
+    """Learns from the labels (key, label) of 0 or 1; of each class the documents with the smallest hashes of their ids, n at the most. Labels that repeat count once.
 
     The curve is set to the share of the classes among all labels. No labelled texts: a model that says one half.
     """
     small_batches(docs.sparkSession)
-    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key)).alias("h"))
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).distinct().withColumn("h", F.xxhash64("id"))
     ids = smallest_hashes(rows, "y", n)  # 2 n rows at the most: small enough to send
     shares = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(ids), "id")

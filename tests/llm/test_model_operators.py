@@ -40,6 +40,26 @@ def test_recall(spark, small):
     assert all(abs(s - math.dist(at[q], at[j])) < 1e-12 for q, v in found.items() for j, s in v.values())
 
 
+def test_few_rows_are_read_where_vectors_have_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 16)) * 4
+    x = centres[rng.integers(0, 60, 6000)] + rng.standard_normal((6000, 16)) * 0.3
+    x[:700] = x[0]  # a hot vector
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "CELL", 64)
+    index = ann.Index(ann.valid(d), 16)
+    assert index.forest.depth == int(np.log2(6000 / ann.LEAF))
+    queries = index.table.where("id % 100 = 0").select("id", "v")
+    read = index.leaf_rows().select("tree", "leaf", "id").join(ann.routed(index, queries.withColumnRenamed("id", "q"), 10, ann.SEARCH), ["tree", "leaf"]).select("q", "id").distinct().count()
+    assert read < 0.2 * 60 * 6000
+    exact = brute_nearest([(i, v) for i, v in enumerate(x.tolist())], 100)
+    found = {}
+    for r in ann.nearest(d).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert np.mean([len(set(found[q]) & {j for j, _ in exact[q]}) / 10 for q in exact if q >= 700]) >= 0.9
+    assert sorted(found[0]) == list(range(1, 11)) and sorted(found[300]) == list(range(10))
+
+
 def test_neighbour_edges(spark):
     same = [(i, [1.0, 0.0]) for i in range(0, 400)]
     odd = [(1000, None), (1001, [0.0, 0.0]), (1002, [float("nan"), 1.0]), (1003, [1.0, None]), (1004, [float("inf"), 1.0]), (1005, [1.0, 2.0, 3.0]), (1100, [2.0, 0.0])]
@@ -94,13 +114,14 @@ def test_model_is_causal_and_scores_each_token_once(tiny_model):
     a = rng.integers(0, 7, 150)
     b = a.copy()
     b[100:] = 1
-    x, y = lm_score.score_tokens(m, [a, b], vec, cls)
+    x, y = lm_score.score_tokens(m, np.concatenate([a, b]), np.array([150, 150]), vec, cls).reshape(2, 150)
+    assert np.allclose(lm_score.score_tokens(m, a[:3], np.array([3]), vec, cls), x[:3], atol=1e-4)
     assert np.allclose(x[:100], y[:100], atol=1e-4) and (x < 0).all()
-    for n in (1, 2, 31, 32, 33, 56, 57, 150):
+    for n in (1, 2, 31, 32, 33, 48, 49, 150):
         start, first = lm_score.window_places(n)
         places = [s + p for s, f in zip(start, first, strict=True) for p in range(f, lm_score.WIDTH) if s + p < n]
         assert places == list(range(n))
-    logits = m.forward(rng.standard_normal((2, 8, lm_score.DIM)).astype(np.float32))
+    logits = m.logits(m.forward(rng.standard_normal((2, 8, lm_score.DIM)).astype(np.float32)))
     assert logits.shape == (2, 8, m.n_first)
 
 
@@ -122,6 +143,99 @@ def test_gradient(tiny_model):
     assert loss > 0 and dx.shape == x.shape
 
 
+def test_score_against_direct_evaluation(spark, monkeypatch):
+    """Every token by itself: its window's attention in plain loops, counts by Counter, anchors by slices."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.choice([0, 1, 5, 40, 90]))) for _ in range(60)]
+    texts += texts[:8] + [texts[9] + " tail " + texts[12]]
+    kept = {}
+    monkeypatch.setattr(lm_score, "CHUNK", 2000)
+    monkeypatch.setattr(lm_score, "_share", lambda model, *a: kept.setdefault("model", model) and 0.4)
+    d = spark.createDataFrame([(i, t, "x", True) for i, t in enumerate(texts)], "doc_id long, text string, train string, block boolean")
+    got = {r.doc_id: r for r in lm_score.score(d, P.path("byte_bpe_50k.tiktoken"), F.col("doc_id") % 5 != 0).collect()}
+    m, sub = kept["model"], lm_score.subwords(P.path("byte_bpe_50k.tiktoken"))
+    split = [t.encode().split() for t in texts]
+    learnt = [i for i in range(len(texts)) if i % 5]
+    count = Counter(w for i in learnt for w in split[i])
+    n = sum(count.values()) + len(learnt)
+    mix = min(0.98, max(0.02, 1 - sum(c == 1 for c in count.values()) / n))
+    pieces = {w: sub.words([w])[0] for ws in split for w in ws}
+    cls = lambda w: m.first_class[m.size if w is None else pieces[w][0]]
+    in_class = np.zeros(m.n_first)
+    for w, c in [*count.items(), (None, len(learnt))]:
+        in_class[cls(w)] += c
+
+    def chain(w):
+        if w is None:
+            return m.log_first[m.size]
+        ids, end = pieces[w], m.later_class[m.size + 2]
+        out, state = m.log_first[ids[0]], m.first_class[ids[0]]
+        for i in ids[1:]:
+            out += m.log_pair[state, m.later_class[i]] + m.log_later[i]
+            state = m.n_first + m.later_class[i]
+        return out + m.log_pair[state, end]
+
+    def attention(tokens, t):
+        start, first = lm_score.window_places(len(tokens))
+        s = max(a for a, f in zip(start, first, strict=True) if a + f <= t)
+        vec = []
+        for k in range(s, t + 1):
+            ids = (m.size + 1,) if k == 0 else pieces[tokens[k - 1]]
+            vec.append(np.mean([m.p["emb"][i] for i in ids], axis=0) + m.p["pos"][k - s])
+        q = vec[-1] @ m.p["q"]
+        a = np.exp([q @ (v @ m.p["k"]) / math.sqrt(lm_score.DIM) for v in vec])
+        h = vec[-1] + sum(x * (v @ m.p["v"]) for x, v in zip(a / a.sum(), vec, strict=True)) @ m.p["o"]
+        z = np.exp(h @ m.p["out"] + m.p["b"])
+        return (z / z.sum())[cls(tokens[t])]
+
+    def places(tokens):
+        w = lm_score.Words([tokens[:-1]])
+        return list(zip(*(x.tolist() for x in lm_score.anchors(w)[1:3]), strict=True))
+
+    runs = {i: [*split[i], None] for i in range(len(texts))}
+    ctx, span = Counter(), Counter()
+    for i in learnt:
+        for a, b in places(runs[i]):
+            ctx[tuple(runs[i][a - lm_score.CONTEXT : a])] += 1
+            span[tuple(runs[i][a - lm_score.CONTEXT : b])] += 1
+    once = lambda c: sum(x == 1 for x in c.values())
+    fresh = (once(span) - once(ctx) + 1) / (sum(ctx.values()) - once(ctx) + 2)
+    shares = (in_class + 0.5) / (in_class + 0.5).sum()
+    helped = 0
+    for i, tokens in runs.items():
+        p = [(0.4 * attention(tokens, t) + 0.6 * shares[cls(w)]) * (mix * (len(learnt) if w is None else count[w]) / max(1, in_class[cls(w)]) + (1 - mix) * 10 ** chain(w)) for t, w in enumerate(tokens)]
+        want, last = sum(map(math.log10, p)), 0
+        own = Counter(tuple(tokens[a - lm_score.CONTEXT : x]) for a, b in places(tokens) for x in (a, b)) if i in learnt else Counter()
+        for a, b in places(tokens):
+            head, whole = tuple(tokens[a - lm_score.CONTEXT : a]), tuple(tokens[a - lm_score.CONTEXT : b])
+            if a >= last and ctx[head] > own[head]:
+                last, plain = b, math.prod(p[a:b])
+                new = (1 - fresh) * (span[whole] - own[whole]) / (ctx[head] - own[head]) + fresh * plain
+                want += math.log10(new) - math.log10(plain)
+                helped += span[whole] > own[whole]
+        assert got[i].score == pytest.approx(want, abs=2e-3 * len(tokens) ** 0.5 + 1e-3), i
+    assert helped >= 3  # the table has passages that are remembered
+
+
+def test_held_out_texts_beat_the_base_and_repeats_are_told_apart(spark, small):
+    from docharbor.llm.common import crc_mod
+
+    for sf, least in (("0.01", 0.0), ("0.1", 0.05)):
+        d = spark.read.parquet(f"{small.replace('0.001', sf)}/documents.parquet").select("doc_id", "text")
+        rng = random.Random(8)
+        words = sorted({w for r in d.limit(300).collect() for w in (r.text or "").split()})
+        new = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(40)]
+        extra = [(10**9 + i, t) for i, t in enumerate(new)] + [(2 * 10**9 + i, t) for i, t in enumerate(new[:20])]
+        d = d.union(spark.createDataFrame(extra, d.schema))
+        got = lm_score.score(d, P.path("byte_bpe_50k.tiktoken"), crc_mod(F.col("doc_id"), 7) != 2).collect()
+        held = [r for r in got if r.held_out and r.doc_id < 10**9]
+        assert sum(r.score for r in held) > (1 - least) * sum(r.base_score for r in held)
+        per = {r.doc_id - 10**9: r.score / r.n_tokens for r in got if 10**9 <= r.doc_id < 2 * 10**9}
+        twice, once = [per[i] for i in range(20)], [per[i] for i in range(20, 40)]
+        assert np.mean([x > max(once) for x in twice]) > 0.8
+
+
 def test_score_edges(spark):
     d = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "A a b", "c"), (3, "A a b", "c"), (None, "x " * 5000, "d")], "doc_id long, text string, score string")
     got = lm_score.score(d, P.path("byte_bpe_50k.tiktoken"), F.col("doc_id") == 3).collect()
@@ -161,6 +275,11 @@ def test_forward_sums_all_segmentations():
     weight = np.array([np.prod(p[c], axis=0) for c in seg])
     want = sum(weight[i] * c.count(2) for i, c in enumerate(seg)) / weight.sum(axis=0)
     assert np.allclose(counts[2], want)
+    # words far beyond the range of doubles: the pieces of each cover it
+    tiny = langid.LanguageModel(lattice, ["x", "y", "z"], p / 1e5, np.zeros(3))
+    counts = tiny.expected([long, "aba"], np.ones((2, 3)))
+    size = np.array([*map(len, pieces), 1])
+    assert np.allclose(size @ counts, 6003) and np.isfinite(counts).all()
 
 
 def test_language_held_out(spark, small):
@@ -182,6 +301,28 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(d, none).collect()} == {"und"} and langid.identify(d.limit(0), m).count() == 0
 
 
+def test_smallest_hashes(spark):
+    """Exactly n of each group, whatever repeats: ids, hashes, whole rows."""
+    from docharbor.llm.common import smallest_hashes
+
+    def cut(rows, n):
+        out = smallest_hashes(rows, "g", n).collect()
+        return {g: sorted(r.h & (1 << 64) - 1 for r in out if r.g == g) for g in {r.g for r in out}}
+
+    d = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("g"), F.xxhash64("id").alias("h"))
+    d = d.union(spark.range(20_000).select(F.lit("same"), F.xxhash64(F.lit(7)))).union(spark.range(3).select(F.lit("few"), F.xxhash64("id")))
+    got = cut(d, 100)
+    every = {g: sorted(r.h & (1 << 64) - 1 for r in d.where(F.col("g") == g).collect())[:100] for g in ("a", "b", "same", "few")}
+    assert got == every and cut(d.limit(0), 100) == {}
+
+
+def test_rare_languages_are_learnt(spark):
+    rows = [(1, "zwei Hunde und eine Katze", "de")] + [(i, " ".join(f"word{chr(97 + i % 26)}{chr(97 + j)} the of" for j in range(26)), "en") for i in range(2, 60)]
+    rows += [(5, f"the other {chr(97 + i)} text", "en") for i in range(26)]  # an id may repeat
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), P.path("piece_bpe_32k.model"), words=20)
+    assert m.langs == ["de", "en"] and m.score(["Hunde", "the word"])[0] == ["de", "en"]
+
+
 # Quality.
 
 

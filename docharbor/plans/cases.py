@@ -642,6 +642,27 @@ def block_signs(spark, sf_dir):
     return rows.select("id", bl.noise(x).alias("noise"), bl.useful(F.lower(x)).alias("useful"), bl.junk(x).alias("junk"), bl.navigation(x).alias("menu"))
 
 
+@expect("id int, merged string", (1, "One  a\n\ntwo\n\nthree"), (2, ""), (3, "x"))
+def merged_texts(spark, sf_dir):
+    """Paragraphs of several readings of a page: the first of those that differ in case and white space only."""
+    rows = [(1, ["One  a\n\ntwo", "ONE a\n\n\nthree", None]), (2, [None, " \n\n "]), (3, ["x", "X"])]
+    return table(spark, "id int, merged string", *[(i, html.merge_texts(c)) for i, c in rows])
+
+
+@expect("id int, text string, title string", (1, "a b", "T"), (2, "", ""))
+def plain_texts(spark, sf_dir):
+    """Text without the signs of markdown; a page without a title has an empty one."""
+    rows = table(spark, "id int, md string, title string", (1, "# a *b*", "T"), (2, "", None))
+    return rows.select("id", F.trim(tx.plain_markdown(c("md"))).alias("text"), F.coalesce("title", F.lit("")).alias("title"))
+
+
+@expect("id int, kept string", (1, "a B|c"), (2, ""))
+def distinct_strings(spark, sf_dir):
+    """Values squeezed, blanks dropped, the first of those that differ in case only."""
+    rows = table(spark, "id int, vs array<string>", (1, ["a  B", "A b", " ", "c"]), (2, []))
+    return rows.select("id", F.array_join(tx.distinct_ci(c("vs")), "|").alias("kept"))
+
+
 PAGES = [
     (1, "https://a.org/mri", "Magnetom", "Magnetom scanner with a 3 Tesla field for routine imaging.\n\nHome\nSearch\nContact us\n\nMagnetom  SCANNER with a 3 Tesla field for routine imaging."),
     (2, "https://a.org/x", "", "Page not found\n\nThe product you want was moved elsewhere by us."),

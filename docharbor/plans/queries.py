@@ -95,7 +95,7 @@ def same_family_join(spark, sf_dir):
 
 @query(f"select id, url, {o.first_hit('lower(url)', {'a': ('de',)}, o.q('-'))} as german from {values(VENDOR_URLS, 'id, url')}")
 def vendor_german(spark, sf_dir):
-    return spark.createDataFrame(VENDOR_URLS, "id int, url string").select("id", "url", F.when(F.lower("url").contains("de"), "a").otherwise("-").alias("german"))
+    return spark.createDataFrame(VENDOR_URLS, "id int, url string").select("id", "url", tx.first_hit(F.lower("url"), {"a": ("de",)}, "-").alias("german"))
 
 
 @query(f"select page_id, list_filter(list_transform({list(terms.LOCALES)!r}, lambda r: case when len(first) = 2 or lower(first) in {o.lits(terms.LOCALES)} then '/' || r || case when len(segs) > 1 then '/' || array_to_string(segs[2:], '/') else '' end else path end), lambda x: x <> path)[1] as moved from (select page_id, {o.part('url', 3)} as path, {o.segments('url')} as segs, {o.segments('url')}[1] as first from pages)")

@@ -148,9 +148,8 @@ def test_score_against_direct_evaluation(spark, monkeypatch):
     rng = random.Random(6)
     vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(60)]
     texts = [" ".join(rng.choice(vocab) for _ in range(rng.choice([0, 1, 5, 40, 90]))) for _ in range(60)]
-    texts += texts[:8] + [texts[9] + " tail " + texts[12]]
+    texts += texts[:40] + [texts[9] + " tail " + texts[12]]
     kept = {}
-    monkeypatch.setattr(lm_score, "CHUNK", 2000)
     monkeypatch.setattr(lm_score, "_share", lambda model, *a: kept.setdefault("model", model) and 0.4)
     d = spark.createDataFrame([(i, t, "x", True) for i, t in enumerate(texts)], "doc_id long, text string, train string, block boolean")
     got = {r.doc_id: r for r in lm_score.score(d, P.path("byte_bpe_50k.tiktoken"), F.col("doc_id") % 5 != 0).collect()}
@@ -232,7 +231,8 @@ def test_held_out_texts_beat_the_base_and_repeats_are_told_apart(spark, small):
         held = [r for r in got if r.held_out and r.doc_id < 10**9]
         assert sum(r.score for r in held) > (1 - least) * sum(r.base_score for r in held)
         per = {r.doc_id - 10**9: r.score / r.n_tokens for r in got if 10**9 <= r.doc_id < 2 * 10**9}
-        twice, once = [per[i] for i in range(20)], [per[i] for i in range(20, 40)]
+        learnt = lambda i: zlib.crc32(str(i).encode()) % 7 != 2  # noqa: E731  a text whose copy is held out occurs once
+        twice, once = [per[i] for i in range(20) if learnt(2 * 10**9 + i)], [per[i] for i in range(20, 40)]
         assert np.mean([x > max(once) for x in twice]) > 0.8
 
 

@@ -7,8 +7,8 @@ vector. A query walks all trees through one queue ordered by the distance to the
 chosen ones hold all of its WITNESSES times k nearest rows of the sample, or SEARCH of the rows (estimated from the sample), or until the next
 plane is farther away than the query's k-th neighbour in the sample, beyond which no nearer row can lie.
 
-Queries and rows of a leaf meet by a join, in cells of CELL by CELL, and only there are distances measured; each cell keeps its k + 1 best rows of
-each query. Queries of one vector are one query until the end. So neither a leaf of equal vectors nor many queries of one leaf come to one task.
+Queries and rows of a leaf meet by a join, in cells of CELL by CELL, and only there are distances measured; each cell keeps of its k + 1 best rows of
+each query those that aren't farther than its k + 1 nearest of the sample, which are found from the start. Queries of one vector are one query until the end. So neither a leaf of equal vectors nor many queries of one leaf come to one task.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ CELL = 4096
 class Forest:
     """Random-projection trees of equal depth: plane i of a tree has the children 2i + 1 and 2i + 2."""
 
-    def __init__(self, sample: np.ndarray, rows: int | None = None, trees: int = TREES, leaf: int = LEAF, seed: int = 7):
-        """rows: how many the table has; the sample's, if it isn't said."""
-        self.sample = sample
+    def __init__(self, sample: np.ndarray, rows: int | None = None, trees: int = TREES, leaf: int = LEAF, seed: int = 7, ids: np.ndarray | None = None):
+        """rows: how many the table has; the sample's, if it isn't said. ids: of the sample's rows."""
+        self.sample, self.ids = sample, np.arange(len(sample)) if ids is None else ids
         leaves = min((len(sample) if rows is None else rows) / leaf, len(sample) / THIN)
         self.depth = max(0, int(np.log2(max(1.0, leaves))))
         n = (1 << self.depth) - 1
@@ -76,6 +76,12 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
+    def nearest(self, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, float]:
+        """(ids, distances) of the k + 1 nearest rows of the sample, and the distance beyond which a row can't be among the k nearest of the table."""
+        d = np.sqrt(((self.sample - q) ** 2).sum(axis=1))
+        at = np.lexsort((self.ids, d))[: k + 1]
+        return self.ids[at], d[at], float(d[at[-1]]) if len(at) > k else np.inf
+
     def route(self, q: np.ndarray, k: int = K, search: float = SEARCH) -> np.ndarray:
         """Which leaves of which trees to read for a query."""
         trees, n = len(self.normals), (1 << self.depth) - 1
@@ -121,7 +127,7 @@ class Index:
         self.spark, self.dim = rows.sparkSession, dim
         rows = rows.where(F.size("v") == dim)
         taken = rows.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id", "v").limit(sample).toPandas()
-        self.forest = Forest(np.stack(taken["v"].to_numpy()).astype(np.float64), rows.count(), trees)
+        self.forest = Forest(np.stack(taken["v"].to_numpy()).astype(np.float64), rows.count(), trees, ids=taken["id"].to_numpy())
         shared = self.spark.sparkContext.broadcast(self.forest)
         schema = rows.withColumn("leaves", F.lit(None).cast("array<short>")).schema
 
@@ -162,9 +168,18 @@ def search(index: Index, queries: DataFrame, k: int = K, share: float = SEARCH)
     """
     dim = index.dim
     queries = Written(queries.where(F.size("v") == dim).select("id", "v"), "ann-queries").df
-    one = Written(queries.groupBy("v").agg(F.min("id").alias("q")), "ann-vectors").df
     # vectors that repeat an id are told apart by a number of their own
-    one = one.withColumn("q", F.xxhash64("q", "v"))
+    one = queries.groupBy("v").agg(F.min("id").alias("q")).select(F.xxhash64("q", "v").alias("q"), "v")
+    shared = index.shared
+
+    def sampled(batches):
+        for b in batches:
+            near = [shared.value.nearest(x, k) for x in _matrix(b.column(1), dim)]
+            ids, far = pa.array([n[0].tolist() for n in near], pa.list_(pa.int64())), pa.array([n[1].tolist() for n in near], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, far, pa.array([n[2] for n in near], pa.float64())], names=["q", "v", "ids", "far", "bound"])
+
+    schema = one.withColumns({"ids": F.lit(None).cast("array<long>"), "far": F.lit(None).cast("array<double>"), "bound": F.lit(0.0)}).schema
+    one = Written(one.mapInArrow(sampled, schema), "ann-vectors").df
     routes = Written(routed(index, one, k, share), "ann-routes").df
 
     def parts(rows: DataFrame, name: str) -> DataFrame:
@@ -173,29 +188,29 @@ def search(index: Index, queries: DataFrame, k: int = K, share: float = SEARCH)
     # a row a leaf: trees times leaves at the most, a few thousand
     cells = F.broadcast(Written(parts(routes, "q_parts").join(parts(index.leaf_rows().drop("v"), "r_parts"), ["tree", "leaf"]), "ann-cells").df)
 
-    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    def dealt(rows: DataFrame, key: str, own: str, other: str, *more: str) -> DataFrame:
         mine = F.pmod(F.xxhash64(key), F.col(f"{own}_parts")).cast("int").alias(own)
         each = F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias(other)
-        return rows.join(cells, ["tree", "leaf"]).select("tree", "leaf", mine, each, key, "v")
+        return rows.join(cells, ["tree", "leaf"]).select("tree", "leaf", mine, each, key, "v", *more)
 
-    left = dealt(routes.join(one, "q").withColumnRenamed("q", "query"), "query", "q", "r")
+    left = dealt(routes.join(one, "q").withColumnRenamed("q", "query"), "query", "q", "r", "bound")
     right = dealt(index.leaf_rows().withColumnRenamed("id", "vec_id"), "vec_id", "r", "q")
 
     def nearest_of(asked: pa.Table, rows: pa.Table) -> pa.Table:
         q, x = _matrix(asked.column("v"), dim), _matrix(rows.column("v"), dim)
-        names, ids = asked.column("query").to_numpy(), rows.column("vec_id").to_numpy()
+        names, bound, ids = asked.column("query").to_numpy(), asked.column("bound").to_numpy(), rows.column("vec_id").to_numpy()
         out = []
         squares = (x * x).sum(axis=1)
         for lo in range(0, len(q) if len(x) else 0, 256):
             own = q[lo : lo + 256]
             rough = squares - 2 * own @ x.T  # cheap distances choose a few more rows than are kept; these are measured exactly
             for i in range(len(own)):
-                at = np.arange(len(x))
-                if len(at) > k + 1:
-                    edge = np.partition(rough[i], k)[k]
-                    at = np.nonzero(rough[i] <= edge + 1e-6 * (1 + abs(edge) + (own[i] * own[i]).sum()))[0]
+                square = (own[i] * own[i]).sum()
+                edge = min(np.partition(rough[i], k)[k] if len(x) > k + 1 else np.inf, bound[lo + i] ** 2 - square)
+                at = np.nonzero(rough[i] <= edge + 1e-6 * (1 + abs(edge) + square))[0] if edge < np.inf else np.arange(len(x))
                 d = np.sqrt(((x[at] - own[i]) ** 2).sum(axis=1))
                 best = np.lexsort((ids[at], d))[: k + 1]
+                best = best[d[best] <= bound[lo + i]]
                 out.append((np.full(len(best), names[lo + i]), ids[at[best]], d[best]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"q": pa.array(cols[0]), "vec_id": pa.array(cols[1]), "score": pa.array(cols[2])})
@@ -203,8 +218,9 @@ def search(index: Index, queries: DataFrame, k: int = K, share: float = SEARCH)
     by = ["tree", "leaf", "q", "r"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(nearest_of, "q long, vec_id long, score double")
     w = Window.partitionBy("q").orderBy("score", "vec_id")
-    # a row may be met in several trees
-    found = found.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).join(one, "q").select("v", "vec_id", "score")
+    own = one.select("q", F.explode(F.arrays_zip("ids", "far")).alias("s")).select("q", F.col("s.ids").alias("vec_id"), F.col("s.far").alias("score"))
+    # a row may be met in several trees; rows that repeat an id count once, by the nearest
+    found = found.union(own).groupBy("q", "vec_id").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).join(one, "q").select("v", "vec_id", "score")
     mine = queries.select(F.col("id").alias("query_id"), "v").join(found, "v").where("query_id != vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return mine.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -4,11 +4,13 @@ import io
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +219,35 @@ def test_score_against_direct_evaluation(spark, monkeypatch):
     assert helped >= 3  # the table has passages that are remembered
 
 
+def test_words_are_cut_as_bytes_are():
+    rng = random.Random(4)
+    texts = [b"", b" ", b"\n\tA", b"Z z\x0b", "É\u00a0é \u2003x\x1cy".encode(), b"\xff\xfe A", *(bytes(rng.choice(b"aAzZ[@ \t\n\x0b\x0c\r\x1f\xc3") for _ in range(rng.randint(0, 40))) for _ in range(300))]
+    for own in (pa.array(texts, pa.binary()), pa.array([b"q r", *texts, b"s"], pa.binary())[1:-1], pa.array([], pa.binary())):
+        names, numbers, counts = lm_score.split(own)
+        words = [names[i] for i in numbers]
+        want = [t.as_py().lower().split() for t in own]
+        assert counts.tolist() == [len(w) for w in want] and words == [x for w in want for x in w] and len(set(names)) == len(names)
+
+
+def test_every_training_text_trains_the_model(spark, monkeypatch):
+    """Each text has words of its own, early and late; the vectors of all that training texts hold are learnt, by the first shard or by the others, and no others are."""
+    sub = lm_score.subwords(P.path("byte_bpe_50k.tiktoken"))
+    own = [t.decode() for t in sorted(sub.enc.token_byte_values()) if re.fullmatch(rb" [a-z]{5,7}", t)][: 3 * 40 * 7 : 7]
+    own = [w.strip() for w in own]
+    texts = [" ".join([*["the", "of"] * 5, own[3 * i], *["the", "of"] * 400, own[3 * i + 1], *["of"] * 30, own[3 * i + 2]]) for i in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for start in (400_000, 4_000):
+        kept = {}
+        monkeypatch.setattr(lm_score, "START_TOKENS", start, raising=False)
+        monkeypatch.setattr(lm_score, "_share", lambda model, *a, kept=kept: kept.update(model=model, rest=a) or 0.4)
+        got = lm_score.score(d, P.path("byte_bpe_50k.tiktoken"), F.col("doc_id") % 4 != 0).collect()
+        m = kept["model"]
+        plain = lm_score.Model(m.size, m.first_class, m.later_class, m.n_first, m.n_later)
+        learnt = set(np.nonzero((m.p["emb"] != plain.p["emb"]).any(axis=1))[0].tolist()) - {m.size, m.size + 1}
+        assert learnt == {x for i, t in enumerate(texts) if i % 4 for w in sub.words(t.encode().split()) for x in w}
+        assert kept["rest"][0].sum() == got[0].train_tokens == sum(len(t.split()) + 1 for i, t in enumerate(texts) if i % 4)
+
+
 def test_held_out_texts_beat_the_base_and_repeats_are_told_apart(spark, small):
     from docharbor.llm.common import crc_mod
 

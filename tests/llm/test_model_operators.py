@@ -278,6 +278,59 @@ def test_score_edges(spark):
     assert lm_score.score(d.limit(0), P.path("byte_bpe_50k.tiktoken"), F.lit(True)).count() == 0
 
 
+def test_blocks_ask_for_their_words_in_few_rows(spark, monkeypatch):
+    """Many blocks, each with words of its own and words of others: counts are right, and neither asking nor answering takes a row a word."""
+    rng = random.Random(12)
+    texts = [" ".join([*(f"own{i}x{j}" for j in range(150)), *(f"of{rng.randrange(60)}" for _ in range(60)), *["The"] * (i % 5)]) for i in range(60)] + ["", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tables = {}
+
+    class Kept(lm_score.Written):
+        def __init__(self, df, tag, **options):
+            super().__init__(df, tag, **options)
+            tables[tag] = self.df
+
+    monkeypatch.setattr(lm_score, "Written", Kept)
+    monkeypatch.setattr(lm_score, "CHUNK", 6000)
+    got = lm_score.score(d, P.path("byte_bpe_50k.tiktoken"), F.col("doc_id") % 6 != 0).collect()
+    tokens = [(t or "").lower().split() for t in texts]
+    learnt = [i for i in range(len(texts)) if i % 6]
+    c = Counter(w for i in learnt for w in tokens[i])
+    n, v = sum(c.values()) + len(learnt), len(c) + 1
+    for r in got:
+        want = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens[r.doc_id]) + math.log10((len(learnt) + 1) / (n + v + 1))
+        assert r.base_score == pytest.approx(want, abs=1e-6) and r.train_tokens == n and math.isfinite(r.score)
+        assert r.n_known == sum(c[w] > 0 for w in tokens[r.doc_id]) + 1
+    blocks = tables["lm-texts"].count()
+    assert len(got) == len(texts) and blocks > 10
+    assert tables["lm-counts"].count() < blocks * blocks + 200 < len({w for t in tokens for w in t})
+
+
+def test_replies_are_totals_of_each_list_over_all_blocks():
+    rng = np.random.default_rng(6)
+    blocks = []
+    for i in range(9):
+        # the lists share keys, which are counted apart; anchors are multiples of EVERY; a block may have none of a list, or nothing
+        keys = [np.unique(rng.integers(0, 40, n) * ((1 << 62) // 40 // lm_score.EVERY * lm_score.EVERY) - (1 << 61)) for n in ((0, 0, 0), (30, 0, 5), (25, 40, 8))[i % 3]]
+        blocks.append((keys, [rng.choice([0, 1, 2, 300, 70_000], len(k)) for k in keys]))
+    want = [Counter() for _ in range(3)]
+    for keys, counts in blocks:
+        for w, k, n in zip(want, keys, counts, strict=True):
+            w.update(dict(zip(k.tolist(), n.tolist(), strict=True)))
+    for buckets in (1, 4, 300):
+        asked = [(bucket, i, x) for i, (keys, counts) in enumerate(blocks) for bucket, x in lm_score.requests(keys, counts, buckets)]
+        answers, sums = [], np.zeros((3, 3), int)
+        for bucket in sorted({a[0] for a in asked}):
+            own = [a for a in asked if a[0] == bucket]
+            values, some = lm_score.replies([a[2] for a in own])
+            answers += [(i, x) for (_, i, _), x in zip(own, values, strict=True)]
+            sums += np.array(some)
+        for i, (keys, _) in enumerate(blocks):
+            got = lm_score.answered(keys, buckets, [x for j, x in answers if j == i])
+            assert [g.tolist() for g in got] == [[w[k] for k in own.tolist()] for w, own in zip(want, keys, strict=True)]
+        assert sums.tolist() == [[sum(w.values()), sum(n > 0 for n in w.values()), sum(n == 1 for n in w.values())] for w in want]
+
+
 # Language.
 
 

@@ -56,18 +56,30 @@ def needle(pattern: str) -> str:
     return max(re.split(r"[\0+.()\[\]|^$\\]", plain), key=len, default="").lower()
 
 
-def pattern_hits(col: Column, patterns: Iterable[str]) -> Column:
-    """How many of the patterns match somewhere in col, whatever the case. A pattern is tried only where its needle occurs."""
+#: Pieces of which every match of a pattern without a needle holds one.
+PIECES = {r"\b\d+(?:\.\d+)?\s*(?:cm|mm)\b": ("cm", "mm")}
+
+
+def needles(pattern: str) -> tuple[str, ...]:
+    """Pieces of lower-case text of which every match of the pattern holds one; none if there are no such."""
+    own = needle(pattern)
+    return PIECES.get(pattern, (own,) if own else ())
+
+
+def pattern_hits(col: Column, patterns: Iterable[str], low: Column | None = None, odd: Column | None = None) -> Column:
+    """How many of the patterns match somewhere in col, whatever the case. A pattern is tried only where its needle occurs. low, odd: col in lower case and whether that holds an odd case, if they are at hand."""
 
     def count(x: Column) -> Column:
         low, odd = x["low"], x["odd"]
         out = F.lit(0)
         for p in patterns:
-            own, found = needle(p), col.rlike(f"(?iu){p}")
-            out = out + (F.when(low.contains(own) | odd, found).otherwise(False) if own else found).cast("int")
+            own, found = needles(p), col.rlike(f"(?iu){p}")
+            out = out + (F.when(any_of(low, own) | odd, found).otherwise(False) if own else found).cast("int")
         return out
 
     patterns = list(patterns)
+    if low is not None:
+        return count({"low": low, "odd": any_of(low, ODD_CASES) if odd is None else odd})
     return let(let(F.lower(col), lambda low: F.struct(low.alias("low"), any_of(low, ODD_CASES).alias("odd"))), count)
 
 
@@ -144,9 +156,14 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+def wide(col: Column) -> Column:
+    """Whether col holds what isn't ASCII: lengths are compared, nothing is searched."""
+    return F.octet_length(col) > F.char_length(col)
+
+
 def compatible(col: Column) -> Column:
-    """The compatibility form (NFKC). ASCII isn't sent to Python."""
-    return F.coalesce(nfkc(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
+    """The compatibility form (NFKC). ASCII and letters that are their own form, with no mark that could join them, aren't sent to Python."""
+    return F.coalesce(nfkc(F.when(wide(col) & col.rlike("[^\\x00-\\x7f\u00bf-\u0131]"), col)), col)
 
 
 def norm_text(col: Column) -> Column:

@@ -46,8 +46,8 @@ def sanitize(block: Column) -> Column:
 
 def junk(block: Column, lines: Column | None = None) -> Column:
     """Nothing but notices, or a fifth of digits. lines: those of the block, if they are at hand."""
-    wide = block.rlike("[^\\x00-\u024f]")
-    rest = F.when(wide, F.regexp_replace(block, r"(?U)\d", "")).otherwise(F.regexp_replace(block, "[0-9]", ""))
+    far = tx.wide(block) & block.rlike("[^\\x00-\u024f]")
+    rest = F.when(far, F.regexp_replace(block, r"(?U)\d", "")).otherwise(F.regexp_replace(block, "[0-9]", ""))
     notices = tx.let(_lines(block) if lines is None else lines, lambda ls: (F.size(ls) == 0) | ((F.size(ls) >= 4) & F.forall(ls, cookieish)))
     return notices | ((F.length(block) - F.length(rest) > F.length(block) * 0.2) & ~F.lower(block).contains("product"))
 
@@ -64,10 +64,22 @@ def navigation(block: Column, lines: Column | None = None) -> Column:
     return tx.let(_lines(block) if lines is None else lines, judged)
 
 
+#: White space that a normalised text hasn't, and other characters that aren't surely none.
+UNEVEN, UNEVEN_WIDE = "[^\n -~]", f"[^\n {tx.PLAIN}]"
+
+
 def block_list(text: Column) -> Column:
-    """The blocks of a text in compatible form: runs of lines between blank ones, lines normalised, table rules left out."""
-    lines = F.filter(F.transform(tx.lines(text), tx.norm_line), lambda x: ~x.rlike(terms.TABLE_RULE))
-    return F.filter(F.transform(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda x: F.trim(x, F.lit("\n"))), lambda x: x != "")
+    """The blocks of a text in compatible form: runs of lines between blank ones, lines normalised, table rules left out. A text whose lines are normal as they are is only cut."""
+
+    def cut(x: Column) -> Column:
+        return F.filter(F.transform(F.split(x, "\n{2,}"), lambda b: F.trim(b, F.lit("\n"))), lambda b: b != "")
+
+    def of(x: Column) -> Column:
+        uneven = F.when(tx.wide(x), x.rlike(UNEVEN_WIDE)).otherwise(x.rlike(UNEVEN)) | tx.any_of(x, ["  ", " \n", "\n ", "--"]) | x.startswith(" ") | x.endswith(" ")
+        lines = F.filter(F.transform(tx.lines(x), tx.norm_line), lambda line: ~line.rlike(terms.TABLE_RULE))
+        return cut(F.when(uneven, F.array_join(lines, "\n")).otherwise(F.replace(x, F.lit("\\|"), F.lit("|"))))
+
+    return tx.let(text, of)
 
 
 def split_blocks(pages: DataFrame, keys: list[str], text: str = "markdown") -> DataFrame:
@@ -75,26 +87,69 @@ def split_blocks(pages: DataFrame, keys: list[str], text: str = "markdown") -> D
     return spread(pages.select(*keys, text)).select(*keys, tx.compatible(F.coalesce(F.col(text), F.lit(""))).alias("_text")).select(*keys, F.posexplode(block_list(F.col("_text"))).alias("pos", "block"))
 
 
-def score(block: Column, clean: Column, url: Column, title: Column) -> Column:
-    """struct of score, reasons and kept of a block; clean: the block sanitised. Both are read often: bind them."""
+def _least(words) -> list[str]:
+    """The words that hold no other one: where none of these occurs, none of the words does."""
+    words = set(words)
+    return sorted(w for w in words if not any(v != w and v in w for v in words))
+
+
+#: Where none of these occurs, no line is dropped and no noise pattern matches.
+DIRT = _least([*terms.COOKIE_WORDS, *(n for p in terms.NOISE_PATTERNS for n in tx.needles(p)), *tx.ODD_CASES])
+
+
+def page_parts(url: Column, title: Column) -> Column:
+    """struct of what a page's address and title add to the score of each of its blocks."""
+
+    def of(x: Column) -> Column:
+        t = x["title"]
+        return F.struct(
+            tx.any_of(x["url"], terms.URL_NOISE).cast("int").alias("noise_url"),
+            F.least(tx.hits(t, terms.USEFUL_TERMS), F.lit(2)).alias("title_context"),
+            tx.hits(t, terms.FAMILIES).alias("title_family"),
+        )
+
+    return tx.let(F.struct(F.lower(url).alias("url"), F.lower(title).alias("title")), of)
+
+
+def cleaned(block: Column) -> Column:
+    """struct of a block of block_list sanitised (clean), in lower case (low), and whether it holds what noise patterns need (dirty), an odd case or a digit."""
+
+    def of(x: Column) -> Column:
+        def rest(clean: Column) -> Column:
+            low = F.when(x["dirty"], F.lower(clean)).otherwise(x["low"])
+            return F.struct(clean.alias("clean"), low.alias("low"), x["dirty"].alias("dirty"), tx.any_of(x["low"], tx.ODD_CASES).alias("odd"), clean.rlike("[0-9]").alias("digit"))
+
+        return tx.let(F.when(x["dirty"], sanitize(x["own"])).otherwise(x["own"]), rest)
 
     def judged(x: Column) -> Column:
-        low, t = x["low"], x["title"]
-        lines = x["lines"]
+        return tx.let(F.struct(x["own"].alias("own"), x["low"].alias("low"), tx.any_of(x["low"], DIRT).alias("dirty")), of)
+
+    def lowered(own: Column) -> Column:
+        return tx.let(F.struct(own.alias("own"), F.lower(own).alias("low")), judged)
+
+    return tx.let(F.replace(block, F.lit("\\|"), F.lit("|")), lowered)
+
+
+def score(block: Column, own: Column, page: Column) -> Column:
+    """struct of score, reasons and kept of a block; own: cleaned(block), page: page_parts of its page. All are read often: bind them."""
+    clean, low, odd, dirty = own["clean"], own["low"], own["odd"], own["dirty"]
+
+    def judged(lines: Column) -> Column:
         pipes = F.size(F.filter(lines, lambda line: line.startswith("|")))
+        digits = F.when(own["digit"] | tx.wide(clean), junk(clean, lines)).otherwise((F.size(lines) >= 4) & F.forall(lines, cookieish))
         parts = [
-            ("noise_url", tx.any_of(x["url"], terms.URL_NOISE).cast("int"), -2),
+            ("noise_url", page["noise_url"], -2),
             ("table_like", F.when(clean.contains("|"), (pipes >= 3).cast("int")).otherwise(0), -2),
-            ("noise_terms", noise(clean), -2),
-            ("fallback_page", tx.pattern_hits(clean, terms.FALLBACK_PATTERNS), -4),
+            ("noise_terms", F.when(dirty, tx.pattern_hits(clean, terms.NOISE_PATTERNS, low, odd)).otherwise(0), -2),
+            ("fallback_page", tx.pattern_hits(clean, terms.FALLBACK_PATTERNS, low, odd), -4),
             ("medical_terms", F.least(tx.hits(low, terms.USEFUL_TERMS), F.lit(4)), 1),
             ("product_family", tx.hits(low, terms.FAMILIES), 2),
-            ("title_context", F.least(tx.hits(t, terms.USEFUL_TERMS), F.lit(2)), 1),
-            ("title_family", tx.hits(t, terms.FAMILIES), 2),
-            ("spec_pattern", tx.pattern_hits(clean, terms.SPEC_PATTERNS), 2),
+            ("title_context", page["title_context"], 1),
+            ("title_family", page["title_family"], 2),
+            ("spec_pattern", F.when(own["digit"], tx.pattern_hits(clean, terms.SPEC_PATTERNS, low, odd)).otherwise(0), 2),
             ("thin_block", (F.length(clean) < 40).cast("int"), -1),
-            ("cookie_heavy", ((tx.occurrences(low, ["cookie"]) >= 2) | (tx.occurrences(low, ["session"]) >= 2)).cast("int"), -3),
-            ("junk_structure", junk(clean, lines).cast("int"), -3),
+            ("cookie_heavy", F.when(dirty, ((tx.occurrences(low, ["cookie"]) >= 2) | (tx.occurrences(low, ["session"]) >= 2)).cast("int")).otherwise(0), -3),
+            ("junk_structure", digits.cast("int"), -3),
             ("navigation_block", navigation(clean, lines).cast("int"), -4),
             ("sanitized", (F.length(clean) < F.length(block)).cast("int"), 0),
         ]
@@ -109,22 +164,14 @@ def score(block: Column, clean: Column, url: Column, title: Column) -> Column:
 
         return tx.let(F.array(*[n for _, n, _ in parts]), summed)
 
-    texts = F.struct(F.lower(clean).alias("low"), F.lower(url).alias("url"), F.lower(title).alias("title"), _lines(clean).alias("lines"))
     nothing = F.struct(F.lit(-5).alias("score"), F.array(F.lit("fully_sanitized")).alias("reasons"), F.lit(False).alias("kept"))
-    return F.when(clean == "", nothing).otherwise(tx.let(texts, judged))
+    return F.when(clean == "", nothing).otherwise(tx.let(F.split(clean, "\n"), judged))
 
 
 def scored_list(blocks: Column, url: Column, title: Column) -> Column:
-    """array of struct<pos, text, kept, score, reasons> of the blocks of a page; a kept block that repeats an earlier kept one is dropped as duplicate_block."""
-
-    def one(block: Column, pos: Column) -> Column:
-        def of(clean: Column) -> Column:
-            return tx.let(score(block, clean, url, title), lambda s: F.struct(pos.alias("pos"), clean.alias("text"), s["kept"].alias("kept"), s["score"].alias("score"), s["reasons"].alias("reasons")))
-
-        return tx.let(sanitize(block), of)
+    """array of struct<pos, text, kept, score, reasons> of the blocks of a page; a kept block that repeats an earlier kept one is dropped as duplicate_block. blocks: those of block_list, whose lines are normal."""
 
     def once(all_: Column) -> Column:
-        keys = F.transform(all_, lambda b: F.when(b["kept"], F.lower(tx.collapse(b["text"]))))
         again = F.struct(F.lit(False).alias("kept"), F.lit(0).alias("score"), F.array(F.lit("duplicate_block")).alias("reasons"))
 
         def marked(ks: Column) -> Column:
@@ -135,9 +182,19 @@ def scored_list(blocks: Column, url: Column, title: Column) -> Column:
 
             return F.transform(all_, first)
 
-        return tx.let(keys, marked)
+        return tx.let(F.transform(all_, lambda b: b["key"]), marked)
+
+    def of_page(page: Column) -> Column:
+        def one(block: Column, pos: Column) -> Column:
+            def of(own: Column) -> Column:
+                # lines are normal, so a line break is all the white space that a key has to collapse
+                return tx.let(score(block, own, page), lambda s: F.struct(pos.alias("pos"), own["clean"].alias("text"), F.when(s["kept"], F.replace(own["low"], F.lit("\n"), F.lit(" "))).alias("key"), s["kept"].alias("kept"), s["score"].alias("score"), s["reasons"].alias("reasons")))
+
+            return tx.let(cleaned(block), of)
+
+        return tx.let(F.transform(blocks, one), once)
 
-    return tx.let(F.transform(blocks, one), once)
+    return tx.let(page_parts(url, title), of_page)
 
 
 def score_blocks(pages: DataFrame, keys: list[str], text: str = "markdown", url: str = "url", title: str = "title") -> DataFrame:
@@ -164,7 +221,8 @@ def page_type(url: Column, title: Column, clean: Column, n_dropped: Column) -> C
 
 
 def spec_values(clean: Column, most: int = 12) -> Column:
-    found = F.concat(*[F.regexp_extract_all(clean, F.lit(f"(?iu){p}"), F.lit(0)) for p in terms.SPEC_PATTERNS])
+    none = F.expr("cast(array() as array<string>)")
+    found = F.when(clean.rlike("[0-9]"), F.concat(*[F.regexp_extract_all(clean, F.lit(f"(?iu){p}"), F.lit(0)) for p in terms.SPEC_PATTERNS])).otherwise(none)
     return F.slice(tx.distinct_ci(found), 1, most)
 
 

@@ -25,3 +25,53 @@ def test_page_title(spark, tmp_path):
         "<title>f \u2028</title>",
     ]
     assert _compare(spark, tmp_path, "page_title", pages=spark.createDataFrame([(i, "https://a.org/", h) for i, h in enumerate(titles)], "page_id long, url string, html string")) == ""
+
+
+TEXTS = [
+    "",
+    " a\nb",
+    "a \n\nb ",
+    "a b​\n c",
+    "plain text\nof two lines\n\n\nA 3 Tesla scanner, 70 CM bore\n\na 3 tesla SCANNER, 70 cm\nbore",
+    "|---|---|\n\n| x \\| y |\n\n|a|\n|b|\n|c|",
+    "x\\\\|y\n\ncookie session\ncookie session cookie\nplain",
+    "Größe und Straße, 12 mm\n\nGRÖSSE İ ſession 5 Km",
+    "été ﬁn Ĳ ½\n\n日本語の製品 ١٢٣٤٥٦٧٨٩ 12345",
+    "a\tb\rc\x0bd\x85e f\n\ng",
+    "Home\nSearch\nContact us\n\n1234 5678 90\n\nsign up\nlog in now and sign up\n\nlog in\n",
+]
+
+
+def test_blocks_of_odd_texts(spark):
+    """Blocks that are only cut, or taken as clean without a look at their lines, are what normalising each line gives."""
+    import re
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from docharbor import terms
+    from docharbor.functions import text as tx
+    from docharbor.operators import blocks as bl
+
+    def norm(line):
+        return re.sub(r"[\s\x85  ]+", " ", line.replace(" ", " ").replace("​", "")).strip(" ").replace("\\|", "|")
+
+    def blocks(text):
+        lines = [norm(x) for x in re.split("\r\n|[\n\x0b\x0c\r\x85  ]", unicodedata.normalize("NFKC", text))]
+        kept = "\n".join(x for x in lines if not re.search(terms.TABLE_RULE, x))
+        return [b for b in (x.strip("\n") for x in re.split("\n{2,}", kept)) if b]
+
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id int, markdown string")
+    got = rows.select("id", bl.block_list(tx.compatible(F.col("markdown"))).alias("b")).orderBy("id").collect()
+    assert [r.b for r in got] == [blocks(t) for t in TEXTS]
+    owns = rows.select(F.explode(bl.block_list(tx.compatible(F.col("markdown")))).alias("b"))
+    assert all(r[0] == r[1] for r in owns.select(bl.cleaned(F.col("b"))["clean"], bl.sanitize(F.col("b"))).collect())
+
+
+def test_block_score_searches_few_patterns(spark):
+    """White space is looked for once a page and in blocks with a dropped line, not in every line of every step."""
+    from docharbor.operators import blocks as bl
+
+    rows = spark.createDataFrame([(1, "a", "u", "t")], "id long, markdown string, url string, title string")
+    plan = bl.score_blocks(rows, ["id"])._jdf.queryExecution().analyzed().toString()
+    assert plan.count(r"(?U)\s+") <= 2

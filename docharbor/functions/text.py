@@ -105,13 +105,18 @@ def collapse(col: Column) -> Column:
 
     def of(x: Column) -> Column:
         clean = F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^ | $", "")
-        return F.when(x.contains("  ") | x.startswith(" ") | x.endswith(" ") | x.rlike(f"[^ {PLAIN}]"), clean).otherwise(x)
+        other = F.when(wide(x), x.rlike(f"[^ {PLAIN}]")).otherwise(x.rlike("[^ -~]"))
+        return F.when(x.contains("  ") | x.startswith(" ") | x.endswith(" ") | other, clean).otherwise(x)
 
     return let(col, of)
 
 
 def strip(col: Column) -> Column:
-    return let(col, lambda x: F.when(x.rlike(f"^[^{PLAIN}]|[^{PLAIN}]$"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(x))
+    def of(x: Column) -> Column:
+        ends = F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1))
+        return F.when(ends.rlike(f"[^{PLAIN}]"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(x)
+
+    return let(col, of)
 
 
 def lines(col: Column) -> Column:
@@ -178,15 +183,25 @@ def norm_line(col: Column) -> Column:
 
 
 def first_line(col: Column) -> Column:
-    """The first line that isn't blank, stripped; empty if there is none."""
-    found = F.filter(F.transform(lines(col), strip), lambda x: x != "")
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+    """The first line that isn't blank, stripped; empty if there is none. What follows it isn't looked at."""
+    return F.coalesce(strip(F.regexp_extract(col, r"(?U)\A\s*([^\n\x0b\f\r\x85\u2028\u2029]*)", 1)), F.lit(""))
 
 
 def summary(col: Column, sentences: int = 3) -> Column:
-    """The first sentences, cut at a full stop before white space."""
-    parts = F.filter(F.transform(F.split(col, r"(?U)\.\s+"), strip), lambda x: x != "")
-    return F.array_join(F.slice(parts, 1, sentences), ". ")
+    """The first sentences, cut at a full stop before white space. Only a text that has blank ones among the first is cut to its end."""
+    stop = r"(?U)\.\s+"
+
+    def joined(parts: Column) -> Column:
+        return F.array_join(F.slice(F.filter(parts, lambda x: x != ""), 1, sentences), ". ")
+
+    def of(x: Column) -> Column:
+        whole = joined(F.transform(F.split(x["text"], stop), strip))
+        return F.when((F.size(x["first"]) > sentences) & F.array_contains(x["head"], ""), whole).otherwise(joined(x["head"]))
+
+    def head(x: Column) -> Column:
+        return let(F.struct(x["text"].alias("text"), x["first"].alias("first"), F.transform(F.slice(x["first"], 1, sentences), strip).alias("head")), of)
+
+    return let(F.struct(col.alias("text"), F.split(col, stop, sentences + 1).alias("first")), head)
 
 
 def plain_markdown(col: Column) -> Column:

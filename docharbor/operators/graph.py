@@ -17,6 +17,7 @@ from .lineage import cut
 
 def bfs_depth(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): all nodes that edges (src, dst) lead to from seeds (node), with the number of steps. No caps: every node once, whatever the size."""
+    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null"), "edges")  # else every level would make them again
     seen = cut(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "bfs")
     front, depth = seen, 0
     while max_depth is None or depth < max_depth:
